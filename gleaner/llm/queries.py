@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import normalise
+from gleaner.llm import normalise, residue
 from gleaner.llm.common import items, spread
 
 QUERIES: dict = {}
@@ -24,3 +24,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return normalise.canonical_columns(items(spark, sf, "title", "content", "author").dropDuplicates(["id"]), ["title", "content", "author"])
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_fields(spread(items(spark, sf, "publisher", "title", "content")), "id", "publisher", {"title": True, "content": False})
