@@ -29,9 +29,10 @@ CODE = re.compile(r"`[^`\n]*`|```.*?```|“[^”\n]*”|„[^“\n]*“|«[^»\n
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[=-]?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%\([A-Za-z_]+\)[sd]|(?<![\w%])%[sd](?![A-Za-z])"
     r"|%[A-Z][A-Z_]+%|\[\[[A-Za-z_ ]{1,40}\]\]|@@\w{1,40}@@|(?<!\w)__[A-Z][A-Z_]*__(?!\w)|(?<![\w{$#])\{(?:\d|[a-z][a-z_.]{0,40})\}"
-    r"|<(?:INSERT|YOUR|ADD|NAME|DATE|TITLE|QUOTE)\b[A-Z_ ]{0,40}>|\[(?:YOUR|INSERT|ADD|ENTER|Your|Insert|Headline|Title|Name)\b[^\]\n]{0,40}\]|\[object Object\]"
+    r"|<(?:INSERT|YOUR|ADD|NAME|DATE|TITLE|QUOTE)\b[A-Z_ ]{0,40}>|\[(?:YOUR|INSERT|ADD|ENTER|Your|Insert|Headline|Title|Name)\b[^\]\n]{0,40}\]|\[object Object\]",
+    re.A,
 )
-BARE = re.compile(r"(?:\b(\w+)[ ,]+)?(?<![\w.])(undefined|NaN)(?![\w(]|\.\w)")
+BARE = re.compile(r"(?:\b(\w+)[ ,]+)?(?<![\w.])(undefined|NaN)(?![\w(]|\.\w)", re.A)
 COPULA = {"is", "are", "was", "were", "be", "been", "remains", "remain", "left", "leaves", "ist", "sind", "es", "son", "called", "an", "or", "and"}
 # fixed values: filler vocabulary
 FILLER = set(
