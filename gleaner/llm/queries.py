@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import normalise, residue
-from gleaner.llm.common import items, spread
+from gleaner.llm import normalise, residue, spam
+from gleaner.llm.common import items, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,3 +30,15 @@ def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_fields(spread(items(spark, sf, "publisher", "title", "content")), "id", "publisher", {"title": True, "content": False})
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spam.scored(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source")
+    return pages.where("score > 0.5").select("doc_id").distinct()
+
+
+@query
+def p10_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = spam.scored(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source")
+    return pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum((F.col("score") > 0.5).cast("bigint")).alias("spam"), F.round(F.max("host_rate"), 4).alias("host_rate"))
