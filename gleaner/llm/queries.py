@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import normalise, residue, spam
+from gleaner.llm import boilerplate, normalise, residue, spam
 from gleaner.llm.common import items, spread, table
 
 QUERIES: dict = {}
@@ -42,3 +42,16 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_hosts(spark: SparkSession, sf: str) -> DataFrame:
     pages = spam.scored(spread(table(spark, sf, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source")
     return pages.groupBy("host").agg(F.count("*").alias("pages"), F.sum((F.col("score") > 0.5).cast("bigint")).alias("spam"), F.round(F.max("host_rate"), 4).alias("host_rate"))
+
+
+def _stripper(spark: SparkSession, sf: str) -> boilerplate.Stripper:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return boilerplate.fit([(items(spark, sf, "content"), "id", "content"), (docs, "doc_id", "text")], docs)
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = _stripper(spark, sf)
+    a = boilerplate.furniture_lines(spread(items(spark, sf, "content")), "id", "content", "corpus_items", model, True)
+    b = boilerplate.furniture_lines(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "documents", model, False)
+    return a.distinct().unionByName(b.distinct())
