@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import boilerplate, normalise, residue, spam
+from gleaner.llm import boilerplate, leaks, normalise, residue, spam
 from gleaner.llm.common import items, spread, table
 
 QUERIES: dict = {}
@@ -55,3 +55,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     a = boilerplate.furniture_lines(spread(items(spark, sf, "content")), "id", "content", "corpus_items", model, True)
     b = boilerplate.furniture_lines(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "documents", model, False)
     return a.distinct().unionByName(b.distinct())
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return leaks.leaks(docs, "doc_id", "text", table(spark, sf, "eval_passages"), "eval_id", "passage")
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "eval_id")
+
+
+@query
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each test item with the number of documents that hold it and the largest share held."""
+    per = _leaks(spark, sf).groupBy("eval_id").agg(F.count("*").alias("n_docs"), F.round(F.max("covered"), 4).alias("most_covered"))
+    return table(spark, sf, "eval_passages").select("eval_id", "suite").join(per, "eval_id", "left").fillna(0, ["n_docs"])
