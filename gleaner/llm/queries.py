@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import boilerplate, leaks, normalise, residue, spam
+from gleaner.llm import boilerplate, leaks, normalise, residue, spam, truncation
 from gleaner.llm.common import items, spread, table
 
 QUERIES: dict = {}
@@ -72,3 +72,24 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     """Each test item with the number of documents that hold it and the largest share held."""
     per = _leaks(spark, sf).groupBy("eval_id").agg(F.count("*").alias("n_docs"), F.round(F.max("covered"), 4).alias("most_covered"))
     return table(spark, sf, "eval_passages").select("eval_id", "suite").join(per, "eval_id", "left").fillna(0, ["n_docs"])
+
+
+def _cuts(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = items(spark, sf, "content"), table(spark, sf, "documents").select("doc_id", "text")
+    model, counted, trees = truncation.fit([(a, "id", "content"), (b, "doc_id", "text")], 1)
+    return truncation.cut_records([(spread(a), "id", "content", "corpus_items"), (spread(b), "doc_id", "text", "documents")], model, counted, trees, 1)
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _cuts(spark, sf)
+
+
+@query
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of cut records per publisher (corpus_items) and per source (documents)."""
+    a = items(spark, sf, "publisher", "content").where(F.length(F.trim("content")) > 0).dropDuplicates(["id"]).select(F.lit("corpus_items").alias("table_name"), F.col("id").alias("rec_id"), F.col("publisher").alias("origin"))
+    b = table(spark, sf, "documents").where(F.length(F.trim("text")) > 0).select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("rec_id"), F.col("source").alias("origin"))
+    got = _cuts(spark, sf).withColumn("hit", F.lit(1))
+    per = a.unionByName(b.distinct()).join(got, ["table_name", "rec_id"], "left").groupBy("table_name", "origin").agg(F.count("*").alias("records"), F.count("hit").alias("cut"))
+    return per.withColumn("share", F.round(F.col("cut") / F.col("records"), 6))
