@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import boilerplate, leaks, normalise, residue, spam, truncation
+from gleaner.llm import boilerplate, leaks, neardup, normalise, residue, spam, truncation
 from gleaner.llm.common import items, spread, table
 
 QUERIES: dict = {}
@@ -93,3 +93,9 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
     got = _cuts(spark, sf).withColumn("hit", F.lit(1))
     per = a.unionByName(b.distinct()).join(got, ["table_name", "rec_id"], "left").groupBy("table_name", "origin").agg(F.count("*").alias("records"), F.count("hit").alias("cut"))
     return per.withColumn("share", F.round(F.col("cut") / F.col("records"), 6))
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    members, links = neardup.join(spread(items(spark, sf, "content")), "id", "content")
+    return neardup.all_pairs(members, links)
