@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import boilerplate, leaks, neardup, normalise, residue, spam, truncation
+from gleaner.llm import boilerplate, leaks, neardup, normalise, packing, residue, spam, survivor, truncation
 from gleaner.llm.common import items, spread, table
+from gleaner.session import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -99,3 +100,38 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     members, links = neardup.join(spread(items(spark, sf, "content")), "id", "content")
     return neardup.all_pairs(members, links)
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    a = items(spark, sf, "cluster_id", "content", "fetched_at", "trust")
+    texts = a.select("id", "content")
+    stripper = boilerplate.fit([(texts, "id", "content")])
+    model, counted, _ = truncation.fit([(texts, "id", "content")])
+    return cut(survivor.completeness(survivor.text_grades(spread(a), "id", "cluster_id", "content", "fetched_at", "trust", stripper, model, counted)), "grades")
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return survivor.survivors(survivor.skyline(_graded(spark, sf))).select(F.col("grp").alias("cluster_id"), "id")
+
+
+@query
+def p2_merged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _graded(spark, sf)
+    a = items(spark, sf, "cluster_id", "title", "content", "author", "url", "publisher", "trust", "fetched_at")
+    text = {k: (F.col(k), F.length(F.trim(k)) > 0) for k in ("title", "content", "author", "url", "publisher")}
+    fields = text | {k: (F.col(k), F.col(k).isNotNull()) for k in ("trust", "fetched_at")}
+    return survivor.merged(a, "id", "cluster_id", rows, survivor.skyline(rows), fields).withColumnRenamed("grp", "cluster_id")
+
+
+@query
+def p8_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.assignment(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "containers"))
+
+
+@query
+def p8_waste(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and unused share per kind, against the fewest containers possible by volume."""
+    got = p8_assignment(spark, sf).groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
+    per = got.join(F.broadcast(table(spark, sf, "containers")), "container_kind")
+    return per.select("container_kind", "capacity_tokens", "n_containers", "tokens", F.round(1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("unused"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"))

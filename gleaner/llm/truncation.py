@@ -293,8 +293,9 @@ def fit(columns: list[tuple[DataFrame, str, str]], spam_column: int | None = Non
     return Backward().fit(values), keys, trees
 
 
-def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted: set, trees: BaggedTrees | None) -> list[tuple[str, int, str]]:
-    """(id, verdict, last line) of suspicious values; 1: cut, 2: cut unless the last line recurs."""
+def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted: set, trees: BaggedTrees | None, names: list[str] | None = None) -> list[tuple[str, int, str]]:
+    """(id, verdict, last line) of suspicious values; 1: cut, 2: cut unless the last line recurs. ``names``: the keys to look up among the counted ones, if ids are others."""
+    name = dict(zip(ids, names)) if names is not None else {}
     out, ask = [], []
     for i, raw in zip(ids, texts):
         s = raw.strip()
@@ -316,7 +317,7 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted:
             ask.append((i, last, _kinds(lines[:-1]), language(s), s, listed))
     if ask:
         tails = [((col * 4 + lang) * 3 * KINDS, _line_kind(last, page), last) for _, last, page, lang, _, _ in ask]
-        own = np.array([float((col, a[0]) in counted) for a in ask])
+        own = np.array([float((col, name.get(a[0], a[0])) in counted) for a in ask])
         for (i, last, page, lang, s, _), o in zip(ask, model.score(tails, own, np.array([float(a[5]) for a in ask]))):
             if o < model.cut_at(col, lang):
                 out.append((i, 2 if len(last) <= MEANT else 1, last, s))
