@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import per_batch, utf8
+from gleaner.llm.common import per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
 from gleaner.session import cut
 
@@ -110,10 +110,10 @@ def matrix(blobs) -> np.ndarray:
 
 def fit(feature_rows: DataFrame, sample: int = SAMPLE) -> BaggedTrees:
     """Trees from at most ``sample`` rows of features (numbers only reach the driver)."""
-    got = feature_rows.orderBy(F.xxhash64("_k"), "_k").limit(sample).select("f").toPandas()
-    if not len(got):
+    got = [bytes(r["f"]) for r in sample_rows(feature_rows, "_k", sample)]
+    if not got:
         return BaggedTrees(np.zeros((0, len(FEATURES))), np.zeros(0))
-    x = matrix(got["f"])
+    x = matrix(got)
     y = weak_label(x)
     return BaggedTrees(x[y >= 0], y[y >= 0])
 
