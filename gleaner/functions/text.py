@@ -24,8 +24,13 @@ def archive_tokens(text: Column) -> Column:
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct character n-grams of lower-cased, space-collapsed text; the text itself where it is shorter."""
     body = F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(body) - (size - 1)), lambda i: F.substring(body, i, F.lit(size)))
-    return F.when(F.length(body) >= size, F.array_distinct(grams)).when(F.length(body) > 0, F.array(body)).otherwise(F.array().cast("array<string>"))
+
+    def grams(b: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(b) - (size - 1)), lambda i: F.substring(b, i, F.lit(size)))
+        return F.when(F.length(b) >= size, F.array_distinct(cut)).when(F.length(b) > 0, F.array(b)).otherwise(F.array().cast("array<string>"))
+
+    # the body is bound to a lambda variable once; captured directly it would be worked out again for every gram
+    return F.transform(F.array(body), grams)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -49,17 +54,20 @@ def head_middle_tail(text: Column, limit: int, head: float = 0.4, middle: float
 
 def best_window(text: Column, terms: list[str], width: int, stride: int) -> Column:
     """The window of ``width`` characters with most term occurrences; the first of equals."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(stride))
 
-    def hits(i: Column) -> Column:
-        w = F.substring(low, i + 1, F.lit(width))
-        total = F.lit(0)
-        for t in terms:
-            total = total + (F.length(w) - F.length(F.replace(w, F.lit(t.lower()), F.lit("")))) / len(t)
-        return F.struct(total.cast("int").alias("hits"), (-i).alias("neg"))
+    def pick(low: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(low) - 1, F.lit(0)), F.lit(stride))
+
+        def hits(i: Column) -> Column:
+            w = F.substring(low, i + 1, F.lit(width))
+            total = F.lit(0)
+            for t in terms:
+                total = total + (F.length(w) - F.length(F.replace(w, F.lit(t.lower()), F.lit("")))) / len(t)
+            return F.struct(total.cast("int").alias("hits"), (-i).alias("neg"))
+
+        return F.array_max(F.transform(starts, hits))
 
-    best = F.array_max(F.transform(starts, hits))
+    best = F.transform(F.array(F.lower(text)), pick)[0]
     return F.substring(text, F.lit(1) - best["neg"], F.lit(width))
 
 
