@@ -111,6 +111,7 @@ def human_count(raw: Column) -> Column:
 def parse_when(raw: Column, now: Column) -> Column:
     """Epoch seconds or milliseconds, ISO, RFC 822 and relative forms, against a pinned now; null where nothing fits."""
     s = F.trim(raw)
+    rfc = F.regexp_replace(F.regexp_replace(s, "^[A-Za-z]{3}, *", ""), "(GMT|UTC|UT|Z)$", "+0000")
     digits = s.rlike("^[0-9]{10}([0-9]{3})?$")
     epoch = F.timestamp_micros((F.substring(s, 1, 10).try_cast("bigint") * 1000000))
     number = F.regexp_extract(s, "^([0-9]+)", 1).try_cast("int")
@@ -121,7 +122,7 @@ def parse_when(raw: Column, now: Column) -> Column:
         .when(s.rlike("^[0-9]+ ?(天|days?)"), now - F.make_dt_interval(number))
         .when(s.rlike("^(昨天|yesterday)"), now - F.make_dt_interval(F.lit(1)))
     )
-    return F.coalesce(F.when(digits, epoch), rel, F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(s, F.lit("yyyy/MM/dd")))
+    return F.coalesce(F.when(digits, epoch), rel, F.try_to_timestamp(s), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(s, F.lit("yyyy/MM/dd")))
 
 
 def clean_markup(raw: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Every node starts with a pointer to its parent. A round replaces the pointer by
 the pointer of the node it leads to, so jumps double and a tree of depth d is
-resolved after about log2(d) rounds. Nodes that are still unresolved once the
-jump length passes their own number can only be on, or below, a loop.
+resolved after about log2(d) rounds. Nodes still open after a round that
+resolves none can only be on, or below, a loop.
 
 Defined cases
 -------------
@@ -82,11 +82,14 @@ def resolve(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     )
     state = cut(state, "state")
     first = state
-    jump = 1
+    jump, before = 1, -1
     while True:
         left = state.where("NOT done").count()
-        if left == 0 or jump > left:
+        # a round that resolves nothing: every open row points at an open row, so all of them lead into loops;
+        # once the jump is longer than their number each pointer rests on a loop
+        if left == 0 or (left == before and jump > left):
             break
+        before = left
         # one left join on the pointer moves every open row twice as far
         look = state.select(F.col("nid").alias("on"), F.col("ptr").alias("op"), F.col("dist").alias("od"), F.col("done").alias("oz"), *([F.col("seg").alias("os")] if with_path else []))
         moved = state.where("NOT done").join(look, F.col("ptr") == F.col("on"), "left").select(

@@ -26,7 +26,7 @@ def provenance_factor(provenance: Column, confidence: Column) -> Column:
 def freshness(published: Column, now: Column, half_life_days: float = 90.0) -> Column:
     """0.5 where the age is unknown."""
     age = F.greatest((F.unix_micros(now) - F.unix_micros(published)) / F.lit(86400e6), F.lit(0.0))
-    return F.coalesce(F.pow(F.lit(0.5), age / half_life_days), F.lit(0.5))
+    return F.when(published.isNull(), F.lit(0.5)).otherwise(F.pow(F.lit(0.5), age / half_life_days))
 
 
 def entity_checkable(text: Column) -> Column:

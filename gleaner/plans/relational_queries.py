@@ -38,7 +38,7 @@ def entity_checkable(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf, "content").select("id", F.round(trust.entity_checkable(F.col("content")), 6).alias("entity"))
 
 
-_FRESH = f"coalesce(pow(0.5, greatest(epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(published_at), 0) / 86400e6 / 90.0), 0.5)"
+_FRESH = f"(CASE WHEN published_at IS NULL THEN 0.5 ELSE pow(0.5, greatest(epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(published_at), 0) / 86400e6 / 90.0) END)"
 
 
 @query(f"SELECT id, round({_FRESH}, 6) AS freshness FROM {ITEMS}")
