@@ -74,7 +74,7 @@ def canonical(s: str | None, fold: bool = False) -> str | None:
             else:
                 s = unicodedata.normalize("NFKC", s)
         if _FOREIGN.search(s):
-            s = _WORD.sub(_letters, s)
+            s = unicodedata.normalize("NFC", _WORD.sub(_letters, s))
     elif "\r" in s:
         s = _BREAK.sub("\n", s)
     s = _EDGE.sub("\n", _SPACE.sub(" ", s)).strip()

@@ -68,9 +68,16 @@ def plan(hist: dict[int, int], capacity: int, groups: int = GROUPS, small: float
     if len(sizes) == 0:
         return np.array([capacity + 1]), np.zeros(0, dtype=np.int64), []
     counts = np.array([hist[int(s)] for s in sizes], dtype=np.int64)
-    cum = np.cumsum(counts)
-    which = np.minimum((cum - 1) * groups // cum[-1], groups - 1)
-    first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+    # equal cardinality; a size as frequent as half a group is a group of its own, so that nothing is rounded up past it
+    card = max(1.0, counts.sum() / groups)
+    first, filled, heavy = [], 0.0, True
+    for k, n in enumerate(counts.tolist()):
+        if heavy or filled + n > card or n >= card / 2:
+            first.append(k)
+            filled = 0.0
+        filled += n
+        heavy = n >= card / 2
+    first = np.array(first)
     lower, upper = sizes[first], sizes[np.append(first[1:], len(sizes)) - 1]
     left = np.add.reduceat(counts, first).astype(np.int64)
     patterns = []

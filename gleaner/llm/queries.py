@@ -135,3 +135,10 @@ def p8_waste(spark: SparkSession, sf: str) -> DataFrame:
     got = p8_assignment(spark, sf).groupBy("container_kind").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("tokens"))
     per = got.join(F.broadcast(table(spark, sf, "containers")), "container_kind")
     return per.select("container_kind", "capacity_tokens", "n_containers", "tokens", F.round(1 - F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("unused"), F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"))
+
+
+@query
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per item of a group of near-identical texts: its group (smallest class number) and how many texts it is alike to."""
+    members, links = neardup.join(spread(items(spark, sf, "content")), "id", "content")
+    return neardup.grouped(members, links)
