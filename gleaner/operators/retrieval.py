@@ -8,31 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import archive_tokens
+from gleaner.session import cut, values
 
 K1, B = 1.5, 0.75
 SATURATION, MIN_BODY, LEAD, DECAY = 2000, 400, 0.6, 0.72
 
 
+def tokenised(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, len, term): one row per token, before any aggregation."""
+    return df.select(key, archive_tokens(text).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
+
+
 def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, len): the inverted index shared by all rankings."""
-    t = df.select(key, archive_tokens(text).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    return t.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """(key, term, tf, len): the inverted index."""
+    return tokenised(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def bm25(df: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of all texts that share a term; ``queries``: (query_id, term), distinct.
 
-    The query side is small and bounded by the caller; only postings of query
-    terms leave the scan, and corpus size and mean length come from one aggregate.
+    Tokens that are no query term leave before the first shuffle; corpus size
+    and mean length come from one aggregate over the scan.
     """
-    lens = df.select(F.size(archive_tokens(text)).alias("len"))
-    stats = lens.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg"))
-    terms = queries.select("term").distinct()
-    hit = postings(df, key, text).join(terms, "term")
+    stats = df.select(F.size(archive_tokens(text)).alias("len")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg"))
+    hit = tokenised(df, key, text).join(queries.select("term").distinct(), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df_ = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = hit.join(df_, "term").join(F.broadcast(stats)).select(key, "term", part.alias("s"))
+    scored = hit.join(df_, "term").join(F.broadcast(stats)).select(key, "term", part.alias("s"))  # stats is one row
     return queries.join(scored, "term").groupBy("query_id", key).agg(F.sum("s").alias("score")).where("score > 0")
 
 
@@ -85,8 +88,6 @@ def ranked(df: DataFrame, key: str, score: str) -> DataFrame:
     A range-partitioned sort gives each partition a run of the order; the
     driver sees one count per partition and hands every partition its offset.
     """
-    from gleaner.session import cut
-
     n = df.sparkSession.sparkContext.defaultParallelism
     s = df.repartitionByRange(n, F.desc(score), F.col(key)).sortWithinPartitions(F.desc(score), key)
     s = cut(s.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
@@ -94,7 +95,7 @@ def ranked(df: DataFrame, key: str, score: str) -> DataFrame:
     for r in s.groupBy("_p").count().orderBy("_p").collect():
         rows.append((r["_p"], at))
         at += r["count"]
-    off = df.sparkSession.createDataFrame(rows or [(0, 0)], "_p int, _o long")
+    off = values(df.sparkSession, rows, "_p int, _o bigint")
     return s.join(F.broadcast(off), "_p").withColumn("rank", F.col("_o") + F.col("_i") + 1).drop("_p", "_i", "_o")
 
 

@@ -21,18 +21,23 @@ def tokens(text: Column) -> Column:
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fingerprint): signed 64-bit SimHash; features hash by an md5 prefix, weights are counts. No features: 0.
 
-    One shuffle: 64 signed sums per text, no row per bit.
+    No row per bit: set bits are counted in packed sums, a bit is set where they outweigh the rest.
     """
     tf = df.select(key, F.explode(tokens(F.col(text))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("w"))
-    h = tf.withColumn("hi", F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")).withColumn("lo", F.conv(F.substring(F.md5("t"), 9, 8), 16, 10).cast("bigint"))
+    h = tf.withColumn("m", F.md5("t")).withColumn("hi", F.conv(F.substring("m", 1, 8), 16, 10).cast("bigint")).withColumn("lo", F.conv(F.substring("m", 9, 8), 16, 10).cast("bigint"))
 
-    def vote(half: str, i: int) -> Column:
-        return F.sum(F.when(F.shiftright(half, i).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w")))
+    # two counters of 32 bits share a sum, so 32 sums hold the weights of all set bits
+    one = F.lit(1).cast("bigint")
+    lane = lambda i: F.sum((F.shiftright("lo", i).bitwiseAND(one) + F.shiftleft(F.shiftright("hi", i).bitwiseAND(one), 32)) * F.col("w"))
+    sums = h.groupBy(key).agg(F.sum("w").alias("all"), *[lane(i).alias(f"s{i}") for i in range(32)])
+    none = F.lit(0).cast("bigint")
 
-    sums = h.groupBy(key).agg(*[vote("lo", i).alias(f"b{i}") for i in range(32)], *[vote("hi", i).alias(f"b{32 + i}") for i in range(32)])
-    fp = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    def bits(x: Column, i: Column) -> Column:
+        low = F.when(x.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("all"), F.call_function("shiftleft", one, i)).otherwise(none)
+        high = F.when(F.shiftrightunsigned(x, 32) * 2 > F.col("all"), F.call_function("shiftleft", one, i + 32)).otherwise(none)
+        return low.bitwiseOR(high)
+
+    fp = F.aggregate(F.transform(F.array(*[F.col(f"s{i}") for i in range(32)]), bits), none, lambda a, x: a.bitwiseOR(x))
     got = sums.select(key, fp.alias("fingerprint"))
     return df.select(key).distinct().join(got, key, "left").select(key, F.coalesce("fingerprint", F.lit(0).cast("bigint")).alias("fingerprint"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import components, merge, retrieval, simhash
-from gleaner.session import cut
+from gleaner.session import cut, spread, values
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,8 +56,8 @@ TERMS = ["open", "licence", "dataset", "4.11"]
 
 @query(sql_bm25("documents", "doc_id", "concat_ws(' ', title, title, text)", "SELECT 'q' AS query_id, unnest(['open', 'licence', 'dataset', '4.11']) AS term") + "SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_archive_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q = spark.createDataFrame([("q", t) for t in TERMS], "query_id string, term string")
-    got = retrieval.bm25(load(spark, sf, "documents"), "doc_id", F.concat_ws(" ", "title", "title", "text"), q).select("doc_id", F.round("score", 6).alias("score"))
+    q = values(spark, [("q", t) for t in TERMS], "query_id string, term string")
+    got = retrieval.bm25(spread(load(spark, sf, "documents").select("doc_id", "title", "text")), "doc_id", F.concat_ws(" ", "title", "title", "text"), q).select("doc_id", F.round("score", 6).alias("score"))
     return got.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -65,7 +65,7 @@ def bm25_archive_topk(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_multi_query_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = load(spark, sf, "eval_passages").where("question IS NOT NULL").select(F.col("question").alias("query_id")).distinct()
     q = p.select("query_id", F.explode(T.archive_tokens(F.col("query_id"))).alias("term")).distinct()
-    s = retrieval.bm25(load(spark, sf, "documents"), "doc_id", F.col("text"), q).withColumn("score", F.round("score", 6))
+    s = retrieval.bm25(spread(load(spark, sf, "documents").select("doc_id", "text")), "doc_id", F.col("text"), q).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 10").select("query_id", "doc_id", "rank", "score")
 
@@ -73,8 +73,8 @@ def bm25_multi_query_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH tk AS (SELECT doc_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, count(*) > 0.2 * any_value(n.n) AS generic FROM tk, n GROUP BY term""")
 def term_df_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
-    n = d.agg(F.count("*").alias("n"))
+    d = spread(load(spark, sf, "documents").select("text"))
+    n = load(spark, sf, "documents").agg(F.count("*").alias("n"))
     df = d.select(F.explode(F.array_distinct(T.archive_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("term", "df", (F.col("df") > 0.2 * F.col("n")).alias("generic"))
 
@@ -229,7 +229,7 @@ s AS (SELECT doc_id, """ + ", ".join(f"sum(CASE WHEN ({h} >> {i}) & 1 = 1 THEN w
 
 @query(_SIM)
 def simhash_md5(spark: SparkSession, sf: str) -> DataFrame:
-    return simhash.fingerprints(load(spark, sf, "documents"), "doc_id", "text")
+    return simhash.fingerprints(spread(load(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _FP = f"""f AS (SELECT DISTINCT fingerprint FROM {ITEMS} WHERE fingerprint IS NOT NULL), p AS (SELECT a.fingerprint AS fp_a, b.fingerprint AS fp_b, bit_count(xor(a.fingerprint, b.fingerprint)) AS distance FROM f a JOIN f b ON a.fingerprint < b.fingerprint AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 6)"""

@@ -39,6 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that (a single small file is one split); larger inputs stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= n else df.repartition(n)
+
+
+def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small frame of literals that needs no Python worker; ``columns``: names with types, as in DDL. Values are numbers, strings or None."""
+    def lit(v: object) -> str:
+        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    pairs = [c.strip().split(" ", 1) for c in columns.split(",")]
+    names, cast = ", ".join(n for n, _ in pairs), ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in pairs)
+    if not rows:
+        return spark.sql(f"SELECT {', '.join(f'CAST(NULL AS {t}) AS {n}' for n, t in pairs)} WHERE false")
+    return spark.sql(f"SELECT {cast} FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({names})")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
