@@ -29,6 +29,7 @@ from gleaner.llm.trees import BaggedTrees
 
 SAMPLE = 900
 LONG = 22
+MARGIN = 1.0
 # fixed values: phrases of page furniture, used only to label training pages
 SURE = re.compile(
     r"^(?:follow us on|report an error|back to top$|get the app|advertisement$|listen to this article|sign up for (?:the|our)\b.*(?:letter|newsletter)|support .{2,50} from \d+ a month|questions\? write to"
@@ -213,7 +214,10 @@ class Stripper:
         if not lines:
             return no, lines, []
         f, e = page_feats(lines)
-        y = self.chain.decode(self.chain.emissions(f), e)
+        own = self.chain.emissions(f)
+        y = self.chain.decode(own, e)
+        # a block whose own evidence is weak, carried over only by its neighbours, stays body
+        y = [int(v and (s >= MARGIN or x.lower() in SECTIONS)) for v, s, x in zip(y, own, lines)]
         # exact check: fixed furniture phrases, and the items of a list of stories whose heading was found
         head, first = False, None
         for t, x in enumerate(lines):
