@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +60,25 @@ def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     return spark.sql(f"SELECT {cast} FROM VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)} AS t({names})")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, wherever the driver imported it from (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="gleaner-ship-")  # of the driver alone, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/gleaner_pkg.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"gleaner/{f.relative_to(root)}")
+    sc.addPyFile(name)
+    _SHIPPED.add(sc.applicationId)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
