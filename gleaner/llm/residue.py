@@ -62,8 +62,8 @@ TITLE = re.compile(
     re.I,
 )
 WEAK = re.compile(
-    r"error|denied|forbidden|javascript|scripts|cookies?|sign in|log in|retry|reload|refresh|try again|unavailable|maintenance|not found|expired|blocked|redirect|loading|browser|request|template|placeholder|draft"
-    r"|\bfehler\b|verweigert|anmelden|aktivieren|neu laden|wartung|nicht gefunden|denegado|recargue|inténtelo|navegador|mantenimiento|no encontrad|错误|登录|刷新|重试|浏览器|维护|过期|验证",
+    r"\b(?:errors?|denied|forbidden|javascript|scripts|cookies?|sign in|log in|retry|reload|refresh|try again|unavailable|maintenance|not found|expired|blocked|redirect(?:ing)?|loading|browser|requests?|template|placeholder|draft"
+    r"|fehler|verweigert|anmelden|aktivieren|neu laden|wartung|nicht gefunden|denegado|recargue|inténtelo|navegador|mantenimiento|no encontrad[ao])\b|错误|登录|刷新|重试|浏览器|维护中|系统维护|过期|验证",
     re.I,
 )
 _URL = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)+\b")
