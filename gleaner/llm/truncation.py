@@ -10,13 +10,18 @@ that a complete text whose last stop is missing is still told from a cut. The lo
 with the fewest errors on held-out pages: their complete line ends against cuts
 at every place of their lines.
 
-The model is fitted on a bounded sample (``sample`` values of each column); how
-often a short last line recurs is counted over all values.
+The model is fitted on a bounded sample (``sample`` values of each column). A
+last line of a few words gives its n-grams too little to tell a name from a cut,
+so it is judged by counts over all values: how many different lines before the
+last ones begin with it and go on, against how many texts end with it or hold it
+as a line of its own. Ratios, and one count for all copies of a text, keep the
+result free of the input's size and of reprints. A line of tags is judged by its last tag.
 
 Defined cases: null and blank values are not cut; residue (p6) and spam (p10)
 are not cut; a value that ends with a stop is complete; a value that ends with
 a replacement character or a note of left-out characters is cut; an ellipsis is
-meant where the whole short last line recurs in ``RECUR`` values, else a cut.
+meant where the whole short last line recurs in a share ``RECUR`` of the
+different texts (two at least) and begins no longer lines, else a cut.
 """
 
 from __future__ import annotations
@@ -34,10 +39,14 @@ from gleaner.llm import residue, spam
 from gleaner.llm.boilerplate import SECTIONS, SURE, bullet
 from gleaner.llm.common import key128, per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
+from gleaner.session import cut
 
 SAMPLE = 1500
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 16)
-RECUR = 5
+RECUR = 3e-4
+FEW = 45
+MID, WORD = 2, 6  # lines that go on, to ends, for a cut inside a word and after one
+BITS = 24
 PULL = 1.5
 MEANT = 40
 WEIGHT = 4.0
@@ -147,7 +156,6 @@ class Backward:
         self.totals: dict[int, tuple[float, float]] = {}
         self.threshold: dict[tuple[int, int], float] = {}
         self.prior: dict[int, float] = {}
-        self.starts: set[int] = set()  # short line beginnings that always go on
 
     def fit(self, values: list[tuple[int, str]], hold: int = 5) -> Backward:
         """values: (column number, text); every ``hold``-th is held out for the thresholds."""
@@ -176,19 +184,12 @@ class Backward:
             coded.append((codes, salt, stop))
         # how often lines of a kind end without a stop, from lines inside the pages: the prior of a complete end
         plain: dict[int, list[int]] = {}
-        begun: list[int] = []
-        whole: set[int] = set()
         for col, lang, page, x, last in lines:
             if not last:
                 n = plain.setdefault((col * 4 + lang) * 3 * KINDS + _line_kind(x, page), [0, 0])
                 n[0] += not _DONE.search(x)
                 n[1] += 1
-            t = _DIGIT.sub("0", x)
-            begun += [zlib.crc32(t[:k].encode("utf-8", "surrogatepass")) for k in range(3, min(len(t), MEANT))]
-            whole.add(zlib.crc32(t.encode("utf-8", "surrogatepass")))
         self.prior = {k: math.log(COMPLETE * (a + 0.5) / (b + 1.0)) for k, (a, b) in plain.items() if b >= 8}
-        u, c = np.unique(np.array(begun, dtype=np.int64), return_counts=True)
-        self.starts = set(u[c >= 4].tolist()) - whole
         self.totals = {k: (et.get(k, 0) + 1.0, ct.get(k, 0) + 1.0) for k in set(et) | set(ct)}
         for order in ORDERS:
             ends, inside = [], []
@@ -271,10 +272,8 @@ class Backward:
         odds = self.log_odds(tails, own)
         prior = np.array([self.prior.get(a + b, 0.0 if b // 3 in (1, 2) else math.log(COMPLETE)) for a, b, _ in tails])
         out = odds + prior + (0 if listed is None else 2.0 * listed)
-        for k, (_, b, line) in enumerate(tails):
-            if b // 3 in (4, 6):  # a few words: cut only if they begin longer lines and never stand alone
-                out[k] = -9.0 if zlib.crc32(_DIGIT.sub("0", line).encode("utf-8", "surrogatepass")) in self.starts else 9.0
-            elif b // 3 == 5:
+        for k, (_, b, _) in enumerate(tails):
+            if b // 3 in (4, 5, 6):  # a few words, tags: left to the counts over all values
                 out[k] = 9.0
         return out
 
@@ -293,8 +292,8 @@ def fit(columns: list[tuple[DataFrame, str, str]], spam_column: int | None = Non
     return Backward().fit(values), keys, trees
 
 
-def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted: set, trees: BaggedTrees | None, names: list[str] | None = None) -> list[tuple[str, int, str]]:
-    """(id, verdict, last line) of suspicious values; 1: cut, 2: cut unless the last line recurs. ``names``: the keys to look up among the counted ones, if ids are others."""
+def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted: set, trees: BaggedTrees | None, names: list[str] | None = None) -> list[tuple[str, int, str, str]]:
+    """(id, verdict, last line, line before it) of suspicious values; 1: cut, 2: a short last line with an ellipsis, 3: one of a few words or tags; both are left to :func:`cut_lines`. ``names``: the keys to look up among the counted ones, if ids are others."""
     name = dict(zip(ids, names)) if names is not None else {}
     out, ask = [], []
     for i, raw in zip(ids, texts):
@@ -306,42 +305,133 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted:
         lines = [x.strip() for x in s.split("\n") if x.strip()]
         last = lines[-1]
         if _CUT.search(s):
-            out.append((i, 1, last, s))
+            out.append((i, 1, lines, s))
         elif m := _DOTS.search(last):
             body = last[: m.start()]
-            out.append((i, 2 if len(last) <= MEANT and not _STOP.search(body) else 1, last, s))
+            out.append((i, 2 if len(last) <= MEANT and not _STOP.search(body) else 1, lines, s))
         elif SURE.search(last) or last.lower() in SECTIONS:
             continue
         else:
+            page = _kinds(lines[:-1])
+            if _line_kind(last, page) // 3 in (4, 5, 6):
+                out.append((i, 3, lines, s))
+                continue
             listed = len(lines) > 1 and not _DONE.search(lines[-2]) and bullet(lines[-2]) == bullet(last)
-            ask.append((i, last, _kinds(lines[:-1]), language(s), s, listed))
+            ask.append((i, lines, page, language(s), s, listed))
     if ask:
-        tails = [((col * 4 + lang) * 3 * KINDS, _line_kind(last, page), last) for _, last, page, lang, _, _ in ask]
+        tails = [((col * 4 + lang) * 3 * KINDS, _line_kind(lines[-1], page), lines[-1]) for _, lines, page, lang, _, _ in ask]
         own = np.array([float((col, name.get(a[0], a[0])) in counted) for a in ask])
-        for (i, last, page, lang, s, _), o in zip(ask, model.score(tails, own, np.array([float(a[5]) for a in ask]))):
+        for (i, lines, _, lang, s, _), o in zip(ask, model.score(tails, own, np.array([float(a[5]) for a in ask]))):
             if o < model.cut_at(col, lang):
-                out.append((i, 2 if len(last) <= MEANT else 1, last, s))
+                out.append((i, 1, lines, s))
     keep = []
-    for i, v, last, s in out:
+    for i, v, lines, s in out:
         if residue.verdict(s, False) == 2 and not _CUT.search(s):
             continue
         if trees is not None and not _CUT.search(s) and not _DOTS.search(s) and trees.predict(np.asarray([spam.features(s)]))[0] > 0.5:
             continue
-        keep.append((i, v, last))
+        keep.append((i, v, lines[-1], lines[-2] if len(lines) > 1 else ""))
     return keep
 
 
+def _plain(line: str) -> str:
+    """A line as it is counted: digits alike, one sign for an ellipsis at its end."""
+    return _DIGIT.sub("0", _DOTS.sub("…", line))
+
+
+def _tags(line: str) -> list[str]:
+    """The words of a line of tags, as they are counted; none of another line."""
+    words = _plain(line).split() if line[0] in "#@" else []
+    return words if words and words[-1][0] in "#@" and len(words[-1]) > 1 else []
+
+
+def _crc(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+ASKED = "line binary, whole binary, bit long, whole_bit long, class binary"
+
+
+def asked(verdict: int, last: str, before: str) -> tuple:
+    """The columns ``ASKED`` of a value: keys of its last line without and with an ellipsis, and of the class of its copies (its last two lines)."""
+    if verdict < 2:
+        return None, None, None, None, None
+    full = (_tags(last) or [_plain(last)])[-1] if verdict == 3 else _plain(last)
+    stub = full[:-1].rstrip() if verdict == 2 else full
+    return key128(stub), key128(full), _crc(stub), _crc(full), key128(f"{before}\n{last}")
+
+
+def _goes_on(line: str, k: int) -> int:
+    """2: the line goes on inside a word after its first k characters, 1: with another word, 0: with a sign or not at all."""
+    c = line[k]
+    if c.isalpha():
+        return 2 if line[k - 1].isalpha() and not _ZH.match(c) else 1
+    return int(c.isspace() and line[k:].lstrip()[:1].isalnum())
+
+
+def _uses(columns: list[tuple[DataFrame, str]], bits: np.ndarray) -> DataFrame:
+    """(line, how, use): lines before the last of all values that begin with (how 1, 2) or are (0) a line asked for; copies of a line are one."""
+    table = bits.tobytes()
+    out = None
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        got = set()
+        for raw in b["_t"]:
+            lines = [x.strip() for x in utf8(raw).split("\n") if x.strip()]
+            for n, x in enumerate(lines):
+                tags = _tags(x)
+                # of the last line only the tags before the last one
+                for t in (tags[:-1] if n == len(lines) - 1 else tags or [_plain(x)]):
+                    c = 0
+                    for k, ch in enumerate(t[: FEW + 1], 1):
+                        c = zlib.crc32(ch.encode("utf-8", "surrogatepass"), c)
+                        at = c & ((1 << BITS) - 1)
+                        if table[at >> 3] >> (at & 7) & 1:
+                            if k == len(t):
+                                got.add((key128(t), 0, key128(f"{lines[n - 1] if n else ''}\n{x}")))
+                            elif how := _goes_on(t, k):
+                                got.add((key128(t[:k]), how, key128(x)))
+        return pd.DataFrame(list(got), columns=["line", "how", "use"])
+
+    for df, text in columns:
+        one = df.select(F.col(text).alias("_t")).where("_t IS NOT NULL").mapInPandas(per_batch(run), "line binary, how int, use binary")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def cut_lines(rows: DataFrame, columns: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(verdict, whole) of the last lines left open in ``rows`` (written; with verdict and ``ASKED``) that are cuts; columns: the (frame, text) to count lines in.
+
+    The driver sees one bit map of 2^BITS hashes, which only thins out what is shuffled.
+    """
+    open_ = rows.where("verdict > 1")
+    words = open_.select(F.explode(F.array("bit", "whole_bit")).alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("v")).collect()
+    bits = np.zeros(1 << BITS - 5, dtype="<u4")
+    for r in words:
+        bits[r["w"]] = r["v"]
+    uses = _uses(columns, bits).groupBy("line").agg(F.count_if(F.col("how") > 0).alias("on"), F.count_if(F.col("how") == 2).alias("mid"), F.count_if(F.col("how") == 0).alias("alone"))
+    texts = sum(df.agg(F.approx_count_distinct(F.xxhash64(text))).first()[0] for df, text in columns)
+    uses = cut(uses, "uses")
+    ends = open_.groupBy("verdict", "line", "whole").agg(F.countDistinct("class").alias("n"))
+    per = ends.join(uses.select("line", "on", "mid"), "line", "left").join(uses.select(F.col("line").alias("whole"), "alone"), "whole", "left").fillna(0, ["on", "mid", "alone"])
+    n = F.col("n") + F.col("alone")
+    begun = (F.col("on") >= WORD * n) | ((2 * F.col("mid") > F.col("on")) & (F.col("on") >= MID * n))
+    meant = (n >= 2) & (n >= RECUR * texts) & ~begun
+    return per.where(F.when(F.col("verdict") == 2, ~meant).otherwise(begun)).select("verdict", "whole")
+
+
 def cut_records(columns: list[tuple[DataFrame, str, str, str]], model: Backward, counted: set, trees: BaggedTrees | None, spam_column: int | None) -> DataFrame:
-    """(table_name, rec_id) of cut values; columns: (frame, key, text, table name). One pass; only suspicious rows are shuffled."""
+    """(table_name, rec_id) of cut values; columns: (frame, key, text, table name). The values are judged once and their lines counted once; only suspicious rows and lines they ask for are shuffled."""
     out = None
     for col, (df, key, text, name) in enumerate(columns):
 
         def run(b: pd.DataFrame, col: int = col) -> pd.DataFrame:
             got = judge(col, b["_k"].tolist(), [utf8(t) for t in b["_t"]], model, counted, trees if col == spam_column else None)
-            return pd.DataFrame([(i, v, key128(last)) for i, v, last in got], columns=["rec_id", "verdict", "line"])
+            return pd.DataFrame([(i, v, *asked(v, last, before)) for i, v, last, before in got], columns=["rec_id", "verdict", "line", "whole", "bit", "whole_bit", "class"])
 
         src = df.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL")
-        one = src.mapInPandas(per_batch(run), "rec_id string, verdict int, line binary").distinct().select(F.lit(name).alias("table_name"), "*")
+        one = src.mapInPandas(per_batch(run), f"rec_id string, verdict int, {ASKED}").distinct().select(F.lit(name).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)
-    often = out.where("verdict = 2").groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= RECUR).select("line")
-    return out.where("verdict = 1").select("table_name", "rec_id").unionByName(out.where("verdict = 2").join(often, "line", "left_anti").select("table_name", "rec_id")).distinct()
+    rows = cut(out, "suspects")
+    is_cut = cut_lines(rows, [(df, text) for df, _, text, _ in columns])
+    return rows.where("verdict = 1").unionByName(rows.where("verdict > 1").join(is_cut, ["verdict", "whole"], "left_semi").select(rows.columns)).select("table_name", "rec_id").distinct()

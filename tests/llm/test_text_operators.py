@@ -177,6 +177,23 @@ def test_cut_texts(spark):
     assert truncation.cut_records([(d.limit(0), "id", "t", "x")], m, c, t, None).count() == 0
 
 
+def cut_ids(spark, rows):
+    d = spark.createDataFrame(rows, "id string, t string")
+    model, counted, trees = truncation.fit([(d, "id", "t")])
+    return {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, counted, trees, None).collect()}
+
+
+def test_cut_in_a_few_words(spark):
+    rng = random.Random(3)
+    rows = [(f"w{k}", story(rng)) for k in range(60)]
+    # two texts cut in the same stub, one after a whole word, one in a tag
+    rows += [(f"c{k}", story(rng) + "\nThe coun") for k in range(2)] + [("c2", story(rng) + "\nThe court")]
+    rows += [(f"t{k}", story(rng) + f"\n#harbour #bridge{'s' * (k % 2)} #v{k}") for k in range(8)] + [("c3", story(rng) + "\n#harbour #bri"), ("t8", story(rng) + "\n#v1 #bridge")]
+    # complete: names, also at the head of a few lines, and notes
+    rows += [(f"n{k}", story(rng) + f"\nAda Bole{k}") for k in range(9)] + [("m0", "Ada Bole, Townholm\n" + story(rng)), ("n9", story(rng) + "\nAda Bole"), ("n10", story(rng) + "\nsolved")]
+    assert {i for i in cut_ids(spark, rows) if i[0] in "cntm"} == {"c0", "c1", "c2", "c3"}
+
+
 # ---------------------------------------------------------------- p10
 def test_trees_separate():
     r = np.random.default_rng(1)
