@@ -177,9 +177,9 @@ def test_cut_texts(spark):
     assert truncation.cut_records([(d.limit(0), "id", "t", "x")], m, c, t, None).count() == 0
 
 
-def cut_ids(spark, rows):
+def cut_ids(spark, rows, fitted="true"):
     d = spark.createDataFrame(rows, "id string, t string")
-    model, counted, trees = truncation.fit([(d, "id", "t")])
+    model, counted, trees = truncation.fit([(d.where(fitted), "id", "t")])
     return {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, counted, trees, None).collect()}
 
 
@@ -194,6 +194,16 @@ def test_cut_in_a_few_words(spark):
     assert {i for i in cut_ids(spark, rows) if i[0] in "cntm"} == {"c0", "c1", "c2", "c3"}
 
 
+def test_copies_never_excuse_a_cut(spark):
+    rng = random.Random(5)
+    rows = [(f"w{k}", story(rng)) for k in range(200)]
+    a, b = story(rng), story(rng)
+    rows += [(f"c{k}", a + "\nThe council closed the bridge in") for k in range(12)] + [(f"d{k}", b + "\nThe council clo...") for k in range(12)]
+    # a meant ending of two different texts
+    rows += [(f"e{k}", story(rng) + "\nTo be continued...") for k in range(2)]
+    assert {i for i in cut_ids(spark, rows, "id like 'w%'") if i[0] != "w"} == {f"{x}{k}" for x in "cd" for k in range(12)}
+
+
 # ---------------------------------------------------------------- p10
 def test_trees_separate():
     r = np.random.default_rng(1)
