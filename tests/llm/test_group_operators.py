@@ -142,6 +142,38 @@ def test_skyline_of_salted_groups(spark, monkeypatch):
     assert {tuple(r) for r in survivor.survivors(survivor.skyline(d)).collect()} == {("hot", best[1]), ("g", "a")}
 
 
+def test_layers_to_the_last():
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = [(rng.randrange(3), rng.randrange(6), rng.choice([-1.0, 0.2, 0.5, 0.7, 0.9])) for _ in range(rng.randrange(1, 60))]
+        assert survivor.all_layers(*[np.array(c) for c in zip(*rows)]).tolist() == brute_layers(rows)
+
+
+def test_fields_from_deep_layers(spark, monkeypatch):
+    monkeypatch.setattr(survivor, "PART", 10)
+    rng = random.Random(12)
+    rows = [(g, f"{g}{k}", rng.randrange(3), rng.randrange(40), rng.randrange(9) / 9, 80) for g in "abc" for k in range(80)]
+    lay = {r[1]: x for g in "abc" for r, x in zip([r for r in rows if r[0] == g], brute_layers([r[2:5] for r in rows if r[0] == g]))}
+    low = lambda i: lay[i] > 3 and rng.random() < 0.2
+    items = [(r[1], r[0], "x" + r[1] if low(r[1]) and r[0] != "c" else None, "y" + r[1]) for r in rows]
+    # a whole text in layer 5 against one with less in layer 4
+    chain = [("d", f"d{k}", 2, 9 - k, 9.0 - k, 6) for k in range(5)] + [("d", "dx", 1, 6, 6.0, 6)]
+    assert brute_layers([r[2:5] for r in chain])[4:] == [5, 5]
+    chain[5] = ("d", "dx", 1, 7, 7.0, 6)
+    assert brute_layers([r[2:5] for r in chain])[4:] == [5, 4]
+    items += [(r[1], "d", r[1] if r[1] in ("d4", "dx") else None, None) for r in chain]
+    rows += chain
+    lay |= {r[1]: x for r, x in zip(chain, brute_layers([r[2:5] for r in chain]))}
+    d = spark.createDataFrame(rows, "grp string, id string, comp int, t long, q double, members long")
+    src = spark.createDataFrame(items, "id string, cluster string, author string, url string")
+    got = {r["grp"]: (r["survivor_id"], r["author"], r["url"]) for r in survivor.merged(src, "id", "cluster", d, survivor.skyline(d), {k: (F.col(k), F.col(k).isNotNull()) for k in ("author", "url")}).collect()}
+    for g in "abcd":
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (lay[r[1]], -r[2], -r[3], -r[4], r[1]))
+        value = {i[0]: i[2:] for i in items}
+        first = [next((v for r in order if (v := value[r[1]][k]) is not None), None) for k in (0, 1)]
+        assert got[g] == (order[0][1], *first)
+
+
 def test_completeness_and_merge(spark):
     g = spark.createDataFrame([("a", "g", 5, 0.9, 100, 2), ("b", "g", 7, None, 95, 2), ("c", "g", 9, 0.9, 40, 2), ("d", "g", 9, 0.9, 100, 1), ("e", "g", 9, 0.9, 0, 0), ("b", "g", 7, None, 95, 2), ("z", "lone", 1, 1.0, 10, 2)], "id string, grp string, t long, q double, size long, state int")
     c = survivor.completeness(g)
