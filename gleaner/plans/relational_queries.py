@@ -137,6 +137,20 @@ def sibling_claims_selfjoin(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(b, "item").where("claim <> other").select("claim", "other").distinct().groupBy("claim").agg(F.count("*").alias("siblings"))
 
 
+def sibling_counts(e: DataFrame) -> DataFrame:
+    """(claim, siblings): with how many other claims each claim shares an item; e: (claim, item). A pair is shuffled once, not in both orders."""
+    e = e.where("claim IS NOT NULL AND item IS NOT NULL").distinct()
+    pairs = e.join(e.select(F.col("claim").alias("other"), "item"), "item").where("claim < other").select("claim", "other").distinct()
+    return pairs.select(F.explode(F.array("claim", "other")).alias("claim")).groupBy("claim").agg(F.count("*").alias("siblings"))
+
+
+@query()
+def sibling_claims_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As sibling_claims_selfjoin, over the evidence of all orders; no SQL, tests compare with brute force."""
+    o = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("claim"))
+    return sibling_counts(load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("claim", "item"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 200")
 def triage_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").where("o_orderstatus = 'O'").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(200).select("o_orderkey", "o_totalprice")

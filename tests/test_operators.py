@@ -150,3 +150,18 @@ def test_threshold_grid(spark):
     r = evaluate.threshold_grid(p).first()
     assert r["threshold"] == pytest.approx(0.41) and r["f1"] == 1
     assert evaluate.threshold_grid(p.where("positive")).count() == 0
+
+
+def test_siblings_of_all_orders(spark, tmp_path):
+    import random
+
+    from gleaner.plans.relational_queries import sibling_claims_all
+
+    rng = random.Random(1)
+    orders = [(k, rng.randrange(9) if k else None, rng.choice(["1-URGENT", "5-LOW"])) for k in range(30)]
+    lines = [(rng.randrange(30), rng.randrange(25)) for _ in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = {(orders[o][1], i) for o, i in lines if orders[o][1] is not None}
+    want = {c: len({d for d, j in e for x, i in e if x == c and i == j and d != c}) for c, _ in e}
+    assert {r["claim"]: r["siblings"] for r in sibling_claims_all(spark, str(tmp_path)).collect()} == {c: n for c, n in want.items() if n}
