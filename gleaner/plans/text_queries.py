@@ -138,6 +138,16 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return s.where("similarity > 0").orderBy(F.desc("similarity"), "vec_id").limit(30)
 
 
+@query()
+def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The 30 nearest of every 20th vector among all; no SQL, tests compare with brute force."""
+    e = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    s = spread(e).crossJoin(q).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).where("similarity > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return s.withColumn("place", F.row_number().over(w)).where("place <= 30")
+
+
 @query(_HYB + """, a AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS p FROM h), b2 AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY coalesce(trust, 0) DESC, id)) AS p FROM """ + ITEMS + """)
 SELECT id, round(sum(p), 8) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b2) GROUP BY id ORDER BY rrf DESC, id LIMIT 100""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:

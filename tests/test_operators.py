@@ -165,3 +165,21 @@ def test_siblings_of_all_orders(spark, tmp_path):
     e = {(orders[o][1], i) for o, i in lines if orders[o][1] is not None}
     want = {c: len({d for d, j in e for x, i in e if x == c and i == j and d != c}) for c, _ in e}
     assert {r["claim"]: r["siblings"] for r in sibling_claims_all(spark, str(tmp_path)).collect()} == {c: n for c, n in want.items() if n}
+
+
+def test_nearest_of_every_query(spark, tmp_path):
+    import random
+
+    from gleaner.plans.text_queries import cosine_topk_all
+
+    rng = random.Random(2)
+    vecs = {k: [rng.gauss(0.3, 1) for _ in range(5)] for k in range(90)}
+    spark.createDataFrame(list(vecs.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in cosine_topk_all(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["vec_id"]))
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for q in (0, 20, 40, 60, 80):
+        sim = {k: round(sum(x * y for x, y in zip(v, vecs[q])) / norm(v) / norm(vecs[q]), 6) for k, v in vecs.items()}
+        assert [k for _, k in sorted(got.pop(q))] == sorted((k for k in sim if sim[k] > 0), key=lambda k: (-sim[k], k))[:30]
+    assert not got
