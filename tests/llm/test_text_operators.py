@@ -67,6 +67,11 @@ def test_residue_titles_and_recurrence(spark):
     assert residue.residue_fields(d.limit(0), "id", "publisher", {"title": True}).count() == 0
 
 
+@pytest.mark.parametrize("text", ["The council met. " * 300 + "lorem ipsum dolor sit amet " * 2000, "sed eiusmod tempor incididunt labore magna aliqua " * 120])
+def test_filler_of_long_texts(text):
+    assert residue.filler(text) and residue.verdict(text, False) == 2 and not residue.filler("The council met in May and sold the archive. " * 200)
+
+
 # ---------------------------------------------------------------- p9
 def brute_longest(doc, passage):
     best = 0
