@@ -1,10 +1,18 @@
 """Page boilerplate mixed with main content.
 
-A page is a sequence of leaf blocks (its non-blank lines). A linear-chain CRF
-gives each block body or furniture from text features (words, separators,
-length, end of sentence), tag-like features (bullet, heading, list position)
-and its neighbours. It is fitted on pages labelled by strict rules, from a
-bounded sample (``sample`` pages), and decoded by Viterbi.
+A page is a sequence of leaf blocks (its non-blank lines, or the leaves of a DOM
+with their ancestor tags). A linear-chain CRF gives each block body or furniture
+from text features (words, separators, length, end of sentence), tag features
+(bullet, heading, place in a list and the list's heading, ancestor tags where a
+DOM is given) and its neighbours; Viterbi decides, nothing after it does.
+
+Training pages are a bounded sample (``sample`` pages a table, read whole). Their
+labels come from recurrence over all pages: a block whose text, or each of whose
+separated parts, stands on many pages with different bodies is furniture, unless
+it has the form of a text's own formulas (greetings, sign-offs, common headings,
+references, tags); a sentence of one page alone is body; seeds (``SURE``,
+``STORIES``) label too, so that small tables have labels; everything else is
+left open and summed over in training.
 
 Defined cases: null or blank texts have no lines; a page of one line is decoded
 as any other; pages that are residue (p6) or spam (p10) have no furniture; rows
@@ -13,6 +21,7 @@ with a repeated key give the same lines once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -24,13 +33,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import residue, spam
 from gleaner.llm.common import per_batch, sample_rows, utf8
-from gleaner.llm.crf import DIM, Chain
+from gleaner.llm.crf import DIM, OPEN, Chain
 from gleaner.llm.trees import BaggedTrees
 
-SAMPLE = 900
+SAMPLE = 2000
 LONG = 22
-MARGIN = 1.0
-# fixed values: phrases of page furniture, used only to label training pages
+WIDE = 3e-4  # share of all pages a block stands on to recur, at least FEW pages
+FEW = 4
+PROSE = 6
+# fixed values: phrases of page furniture, seeds that label training pages and nothing else
 SURE = re.compile(
     r"^(?:follow us on|report an error|back to top$|get the app|advertisement$|listen to this article|sign up for (?:the|our)\b.*(?:letter|newsletter)|support .{2,50} from \d+ a month|questions\? write to"
     r"|© ?\d{4}|(?:we use|this site (?:uses|sets)) |by staying on this site|you have \d+ free articles|your privacy:|.{2,60} and \d+ partners store|.{2,60} is published in \d{4} by|share +save +print"
@@ -49,6 +60,14 @@ SECTIONS = set(
     " inicio entrar agenda economía boletines empleo tecnología contacto buscar ciencia mundo tiempo local deportes vídeo vídeos foro cultura opinión archivo política"
     " 首页 登录 活动 财经 订阅 招聘 科技 联系我们 搜索 科学 国际 天气 本地 体育 视频 播客 论坛 文化 评论 存档".split()
 )
+# fixed values: a text's own formulas, which recur though they are body
+FORMULA = re.compile(
+    r"^(?:hi|hello|hey|dear|hallo|liebe|hola|buenas|大家好|你好)\b.{0,60}$|^(?:大家好|你好)|^(?:cheers|thanks|thank you|regards|best|danke|gruß|gracias|saludos|谢谢)\b.{0,50}$|^(?:edit|update|ps|p\.s\.)\b|^(?:to be continued|and so)\b"
+    r"|^(?:references|related work|changes|changelog|fixed|added|removed|known issues|notes|sources|summary|background|introduction|methods?|results|conclusions?|abstract|faq|questions?|answers?"
+    r"|quellen|änderungen|behoben|bekannte probleme|zusammenfassung|hintergrund|verweise|referencias|cambios|corregido|problemas conocidos|resumen|fuentes|参考资料|参考文献|更新内容|已修复|已知问题|相关工作|摘要|背景|结论):?$"
+    r"|^\[\d+\]|^https?://\S+$|^[#@]\S+(?:\s+[#@]\S+)*$|\t|^[\W\d]*$|^q\d*[:.]|^a\d*[:.]|^问[:：]|^答[:：]",
+    re.I,
+)
 _SEP = re.compile(r" [·|/>›»•] |  +")
 _STOP = re.compile(r"[.!?。！？…:：]$")
 _BULLET = re.compile(r"^([*\-–»>•·#]+|\d+[.)]|\[\d+\])\s+")
@@ -83,11 +102,11 @@ def _short_feats(line: str) -> tuple[int, ...]:
         f.append("url")
     if line[0] in "©#[":
         f.append("c" + line[0])
-    f += ["w" + w for w in words[:14]]
-    f += ["2" + a + "_" + c for a, c in zip(words[:8], words[1:9])]
+    f += ["w" + w for w in words]
+    f += ["2" + a + "_" + c for a, c in zip(words, words[1:])]
     if words:
         f += ["first" + words[0], "last" + words[-1]]
-    f.append("mask" + "".join(residue.mask(line)[:80]))
+    f.append("mask" + residue.mask(line))
     return tuple(sorted({_h(x) for x in f}))
 
 
@@ -100,8 +119,8 @@ def _at(name: str) -> int:
     return _POS[name]
 
 
-def page_feats(lines: list[str]) -> tuple[list[list[int]], list[int]]:
-    """(features, edge classes) of a page's non-blank, stripped lines."""
+def page_feats(lines: list[str], tags: list[str] | None = None) -> tuple[list[list[int]], list[int]]:
+    """(features, edge classes) of a page's non-blank, stripped lines; ``tags``: the ancestor tags of each, as ``html/body/nav/li``."""
     feats, edges = [], []
     n = len(lines)
     kinds, bs = [], []
@@ -111,12 +130,11 @@ def page_feats(lines: list[str]) -> tuple[list[list[int]], list[int]]:
         stop = bool(_STOP.search(x)) and not x.endswith("?")
         long = len(x) > 160 or (len(x) > 60 and x.count(" ") >= LONG) or (len(x) > 45 and "一" <= x[len(x) // 2] <= "鿿" and stop)
         kinds.append("L" if long else "S" if stop else "h")
-    inside, first = 0, ""  # place within a list under a heading of further stories
+    inside, head = 0, ""  # place within a run of unstopped lines of one form, and the heading it stands under
     for t, x in enumerate(lines):
-        if STORIES.match(x):
-            inside = 1
-        elif inside and kinds[t] == "h" and (inside == 1 or bs[t] == first) and not SURE.search(x):
-            first = bs[t] if inside == 1 else first
+        if t and kinds[t] == "h" and (inside and bs[t] == bs[t - 1] or not inside and kinds[t - 1] == "h" and not bs[t - 1]):
+            if not inside:
+                head = lines[t - 1].lower()
             inside += 1
         else:
             inside = 0
@@ -124,12 +142,16 @@ def page_feats(lines: list[str]) -> tuple[list[list[int]], list[int]]:
         k = kinds[t]
         if k == "L":
             b = bs[t]
-            f = [_at("long"), _at("longb" + b), _at("first" + x.split(" ", 1)[0].lower()[:20])]
+            f = [_at("long"), _at("longb" + b), _at("longu" + str("http" in x or "cookie" in x.lower())), _at("first" + x.split(" ", 1)[0].lower()[:20])]
+            f += [_h("w" + w) for w in set(_WORD.findall(x.lower()))]
         else:
             f = list(_short_feats(x))
         before, after = (kinds[t - 1] + bs[t - 1] if t else "^"), (kinds[t + 1] + bs[t + 1] if t + 1 < n else "$")
         if inside:
-            f += [_at(f"inside{min(inside, 7)}"), _at("insideb" + bs[t])]
+            f += [_at(f"inside{min(inside, 7)}"), _at("insideb" + bs[t]), _h("under" + head), *(_h("underw" + w) for w in _WORD.findall(head)[:6])]
+        if tags is not None:
+            f += [_at("tag" + a) for a in set(tags[t].split("/"))]
+            f.append(_at("leaf" + tags[t].rsplit("/", 1)[-1]))
         f += [_at("bias"), _at(f"up{up}{k}"), _at(f"down{down}{k}"), _at(f"pr{k}{bs[t]}{before}"), _at(f"nx{k}{bs[t]}{after}")]
         feats.append(f)
         # edge class: no bullets, same bullet, bullet begins, bullet ends or changes; doubled for a plain short line after a plain short line
@@ -146,6 +168,73 @@ def page_feats(lines: list[str]) -> tuple[list[list[int]], list[int]]:
     return feats, edges
 
 
+def _parts(line: str) -> list[str]:
+    return [p for p in (q.strip().lower() for q in _SEP.split(line)) if p]
+
+
+def block_keys(line: str) -> list[int]:
+    """Hashes by which a block recurs: its text, and each of its separated parts; digits alike, without a bullet."""
+    x = re.sub(r"\d+", "0", _BULLET.sub("", line).lower())
+    parts = _parts(x)
+    return [_line_hash(x)] + ([_line_hash(p) for p in parts] if len(parts) > 1 else [])
+
+
+def _line_hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def spread_of(tables: list[tuple[DataFrame, str, str | None]], wanted: set[int]) -> tuple[dict[int, tuple[int, bool]], int]:
+    """({block: (pages with different bodies that hold it, whether all are of one host)}, number of different pages), over all rows of the (frame, text, host) tables.
+
+    ``wanted`` comes from the bounded sample; what is shuffled are the hits on it.
+    """
+    spark = tables[0][0].sparkSession
+    shared = spark.sparkContext.broadcast(frozenset(wanted))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        got = {}
+        for t, h in zip(b["_t"], b["_h"]):
+            _, lines = split_lines(utf8(t))
+            if lines:
+                body = _line_hash(max(lines, key=len))  # stands for the page's body: alike in reprints
+                got[0, body] = h
+                for x in lines:
+                    for k in block_keys(x):
+                        if k in shared.value:
+                            got[k, body] = h
+        return pd.DataFrame([(*k, utf8(h)) for k, h in got.items()], columns=["k", "body", "host"])
+
+    out = None
+    for df, text, host in tables:
+        src = df.select(F.col(text).alias("_t"), (F.col(host) if host else F.lit("")).alias("_h")).where("_t IS NOT NULL")
+        one = src.mapInPandas(per_batch(run), "k long, body long, host string")
+        out = one if out is None else out.unionByName(one)
+    # rows per body first (an exact distinct count in two pre-aggregated steps)
+    per = out.groupBy("k", "body").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    rows = per.groupBy("k").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # at most one row a wanted block
+    n = {r["k"]: (r["n"], r["lo"] == r["hi"]) for r in rows}
+    return n, n.pop(0, (0, False))[0]
+
+
+def recurrence_labels(lines: list[str], n: dict[int, tuple[int, bool]], pages: int) -> list[int]:
+    """Labels of a training page's blocks: 1 furniture, 0 body, ``OPEN`` undecided."""
+    y = []
+    for x in lines:
+        # sentences are reprinted across hosts, in edited texts too, so there they must recur more widely
+        prose = _STOP.search(x) and len(x) > 25
+        seen = [n.get(k, (0, False)) for k in block_keys(x)]
+        wide, *parts = (c >= max(FEW, WIDE * pages) * (PROSE if prose and not one else 1) for c, one in seen)
+        if wide or (parts and all(parts)):
+            y.append(0 if FORMULA.search(x) else 1)
+        elif prose and len(x) > 40 and seen[0][0] < 2:
+            y.append(0)
+        else:
+            y.append(OPEN)
+    if 1 not in y:
+        return [0 if v == OPEN else v for v in y]
+    return y
+
+
 def rule_labels(lines: list[str]) -> list[int] | None:
     """Labels of a page by strict rules; None where they leave doubt (the page is not used for training)."""
     y = [0] * len(lines)
@@ -188,18 +277,25 @@ def split_lines(text: str) -> tuple[list[int], list[str]]:
     return no, lines
 
 
-def fit_chain(texts: list[str], epochs: int = 10, most: int = 120) -> Chain:
-    pages = []
+def labels(lines: list[str], n: dict[int, tuple[int, bool]], pages: int) -> list[int]:
+    """Recurrence and seeds together: a seed label fills what recurrence leaves open or takes for body."""
+    y, seeds = recurrence_labels(lines, n, pages), rule_labels(lines)
+    if seeds is None:
+        return y
+    if 1 in seeds or 1 in y:
+        # between seeded blocks, what neither recurs nor is seeded is body
+        return [1 if a == 1 or b == 1 else 0 for a, b in zip(y, seeds)]
+    return y
+
+
+def fit_chain(texts: list[str], n: dict[int, tuple[int, bool]] | None = None, pages: int = 0, epochs: int = 8) -> Chain:
+    train = []
     for t in texts:
         _, lines = split_lines(t)
-        lines = lines[:most]  # of a training page
-        if not lines:
-            continue
-        y = rule_labels(lines)
-        if y is not None:
+        if lines:
             f, e = page_feats(lines)
-            pages.append((f, e, y))
-    return Chain(6).fit(pages, epochs)
+            train.append((f, e, labels(lines, n or {}, pages)))
+    return Chain(6).fit(train, epochs)
 
 
 class Stripper:
@@ -208,27 +304,17 @@ class Stripper:
     def __init__(self, chain: Chain, trees: BaggedTrees | None) -> None:
         self.chain, self.trees = chain, trees
 
+    def marks(self, lines: list[str], tags: list[str] | None = None) -> list[int]:
+        """1 for each furniture block of a page, by Viterbi."""
+        if not lines:
+            return []
+        f, e = page_feats(lines, tags)
+        return self.chain.decode(self.chain.emissions(f), e)
+
     def furniture(self, text: str, check_residue: bool = False) -> tuple[list[int], list[str], list[int]]:
         """(line numbers, lines, labels)"""
         no, lines = split_lines(text)
-        if not lines:
-            return no, lines, []
-        f, e = page_feats(lines)
-        own = self.chain.emissions(f)
-        y = self.chain.decode(own, e)
-        # a block whose own evidence is weak, carried over only by its neighbours, stays body
-        y = [int(v and (s >= MARGIN or x.lower() in SECTIONS)) for v, s, x in zip(y, own, lines)]
-        # exact check: fixed furniture phrases, and the items of a list of stories whose heading was found
-        head, first = False, None
-        for t, x in enumerate(lines):
-            if len(x) < 200 and SURE.search(x):
-                y[t], head = 1, False
-            elif y[t] and STORIES.match(x):
-                head, first = True, None
-            elif head and not _STOP.search(x.rstrip("?")) and len(x) < 140 and first in (None, bullet(x)):
-                y[t], first = 1, bullet(x)
-            else:
-                head = False
+        y = self.marks(lines)
         if any(y):
             if check_residue and residue.verdict(text, False) == 2:
                 return no, lines, [0] * len(y)
@@ -240,22 +326,24 @@ class Stripper:
         return no, lines, y
 
     def body(self, text: str) -> str:
-        _, lines, y = self.furniture(text)
-        return "\n".join(x for x, v in zip(lines, y) if not v)
+        _, lines = split_lines(text)
+        return "\n".join(x for x, v in zip(lines, self.marks(lines)) if not v)
 
 
-def fit(tables: list[tuple[DataFrame, str, str]], spam_pages: DataFrame | None = None, sample: int = SAMPLE) -> Stripper:
-    """Models from at most ``sample`` pages of each table (key, text) and at most ``3 * sample`` pages for the spam trees."""
+def fit(tables: list[tuple[DataFrame, str, str, str | None]], spam_pages: DataFrame | None = None, sample: int = SAMPLE) -> Stripper:
+    """Models from at most ``sample`` pages of each table (frame, key, text, host) and at most ``sample`` pages for the spam trees; recurrence is counted over all pages."""
     texts = []
-    for df, key, text in tables:
-        texts += [r[0] for r in sample_rows(df.where(F.length(F.trim(F.col(text))) > 0), key, sample) for r in [(r[text],)]]
+    for df, key, text, _ in tables:
+        texts += [r[text] for r in sample_rows(df.where(F.length(F.trim(F.col(text))) > 0), key, sample)]
+    wanted = {k for t in texts for x in split_lines(t)[1] for k in block_keys(x)}
+    n, pages = spread_of([(df, text, host) for df, _, text, host in tables], wanted) if wanted else ({}, 0)
     trees = None
     if spam_pages is not None:
-        rows = sample_rows(spam_pages.where(F.length(F.trim("text")) > 0), "doc_id", 3 * sample)
+        rows = sample_rows(spam_pages.where(F.length(F.trim("text")) > 0), "doc_id", sample)
         x = np.array([spam.features(r["text"]) for r in rows]).reshape(-1, len(spam.FEATURES))
         y = spam.weak_label(x) if len(x) else np.zeros(0)
         trees = BaggedTrees(x[y >= 0], y[y >= 0])
-    return Stripper(fit_chain(texts), trees)
+    return Stripper(fit_chain(texts, n, pages), trees)
 
 
 def furniture_lines(df: DataFrame, key: str, text: str, table_name: str, model: Stripper, check_residue: bool) -> DataFrame:

@@ -1,15 +1,20 @@
-"""A linear-chain conditional random field with two labels, in numpy.
+"""A linear-chain conditional random field with two labels.
 
 Emissions are sums over hashed binary features of a block; transitions depend
 on a small edge class between neighbours. Fitted by stochastic gradient ascent
-on the conditional log-likelihood (forward-backward); decoded by Viterbi.
+on the conditional log-likelihood of the labels that are known: a block may be
+left open, then both of its labels are summed over (expected counts under the
+known labels, less those without them). Decoded by Viterbi.
 """
 
 from __future__ import annotations
 
+from math import exp
+
 import numpy as np
 
 DIM = 1 << 15
+OPEN = -1
 
 
 class Chain:
@@ -43,49 +48,64 @@ class Chain:
             out.append(at)
         return out[::-1]
 
-    def fit(self, pages: list[tuple[list[list[int]], list[int], list[int]]], epochs: int = 12, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Chain:
-        """pages: (features, edge classes, labels) of each page."""
+    def _expected(self, psi: list[float], edge: list[int], known: list[int] | None, trans: list, dt: np.ndarray, sign: float) -> list[float]:
+        """P(label 1) of each block; adds the expected transitions to ``dt``. ``known``: labels to hold to."""
+        n = len(psi)
+        fit0 = [1.0 if known is None or known[t] != 1 else 0.0 for t in range(n)]
+        fit1 = [psi[t] if known is None or known[t] != 0 else 0.0 for t in range(n)]
+        a0, a1 = exp(self.start[0]) * fit0[0], exp(self.start[1]) * fit1[0]
+        z = a0 + a1
+        fw = [(a0 / z, a1 / z)]
+        norm = [1.0]
+        for t in range(1, n):
+            (p0, p1), k = fw[-1], trans[edge[t]]
+            a0, a1 = (p0 * k[0] + p1 * k[2]) * fit0[t], (p0 * k[1] + p1 * k[3]) * fit1[t]
+            z = a0 + a1
+            fw.append((a0 / z, a1 / z))
+            norm.append(z)
+        b0, b1 = exp(self.end[0]), exp(self.end[1])
+        last = fw[-1][0] * b0 + fw[-1][1] * b1
+        b0, b1 = b0 / last, b1 / last
+        p = [0.0] * n
+        for t in range(n - 1, -1, -1):
+            p[t] = fw[t][1] * b1
+            if t:
+                (p0, p1), k, z = fw[t - 1], trans[edge[t]], norm[t]
+                c0, c1 = fit0[t] * b0 / z, fit1[t] * b1 / z
+                d = dt[edge[t]]
+                d[0] += sign * p0 * k[0] * c0
+                d[1] += sign * p0 * k[1] * c1
+                d[2] += sign * p1 * k[2] * c0
+                d[3] += sign * p1 * k[3] * c1
+                b0, b1 = k[0] * c0 + k[1] * c1, k[2] * c0 + k[3] * c1
+        return p
+
+    def fit(self, pages: list[tuple[list[list[int]], list[int], list[int]]], epochs: int = 10, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Chain:
+        """pages: (features, edge classes, labels) of each page; label ``OPEN`` where it is not known."""
         rng = np.random.default_rng(seed)
-        gw, gt, gs, ge = np.full(DIM, 1e-6), np.full(self.trans.shape, 1e-6), np.full(2, 1e-6), np.full(2, 1e-6)
+        edges = len(self.trans)
+        gw, gt, gs, ge = np.full(DIM, 1e-6), np.full((edges, 4), 1e-6), np.full(2, 1e-6), np.full(2, 1e-6)
+        flat = [(np.fromiter((x for f in feats for x in f), dtype=np.int64), np.array([len(f) for f in feats]), edge, y) for feats, edge, y in pages if len(feats)]
+        grouped = [(*np.unique(idx, return_inverse=True), np.repeat(np.arange(len(n)), n), idx, edge, y) for idx, n, edge, y in flat]
         for _ in range(epochs):
-            for k in rng.permutation(len(pages)):
-                feats, edge, y = pages[k]
-                n = len(feats)
-                if n == 0:
-                    continue
-                s = self.emissions(feats)
-                em = np.zeros((n, 2))
-                em[:, 1] = s
-                fw, bw = np.zeros((n, 2)), np.zeros((n, 2))
-                fw[0] = self.start + em[0]
-                for t in range(1, n):
-                    fw[t] = em[t] + np.logaddexp(fw[t - 1, 0] + self.trans[edge[t], 0], fw[t - 1, 1] + self.trans[edge[t], 1])
-                bw[-1] = self.end
-                for t in range(n - 2, -1, -1):
-                    m = self.trans[edge[t + 1]] + em[t + 1] + bw[t + 1]
-                    bw[t] = np.logaddexp(m[:, 0], m[:, 1])
-                z = np.logaddexp(*(fw[-1] + self.end))
-                p = np.exp(fw + bw - z)
-                d = np.asarray(y, dtype=float) - p[:, 1]
+            for k in rng.permutation(len(grouped)):
+                u, inv, owner, idx, edge, y = grouped[k]
+                s = np.bincount(owner, weights=self.w[idx], minlength=len(y))
+                psi = np.exp(np.clip(s, -25, 25)).tolist()
+                trans = np.exp(self.trans.reshape(-1, 4)).tolist()
+                dt = [[0.0] * 4 for _ in range(edges)]
+                free = self._expected(psi, edge, None, trans, dt, -1.0)
+                held = self._expected(psi, edge, y, trans, dt, 1.0)
+                d = np.array(held) - np.array(free)
                 # AdaGrad on the features of this page
-                idx = np.fromiter((x for f in feats for x in f), dtype=np.int64)
-                g = np.repeat(d, [len(f) for f in feats])
-                u, inv = np.unique(idx, return_inverse=True)
-                gu = np.bincount(inv, weights=g) - l2 * self.w[u]
+                gu = np.bincount(inv, weights=d[owner], minlength=len(u)) - l2 * self.w[u]
                 gw[u] += gu * gu
                 self.w[u] += rate * gu / np.sqrt(gw[u])
-                dt = np.zeros_like(self.trans)
-                for t in range(1, n):
-                    q = np.exp(fw[t - 1][:, None] + self.trans[edge[t]] + em[t][None, :] + bw[t][None, :] - z)
-                    dt[edge[t]] -= q
-                    dt[edge[t], y[t - 1], y[t]] += 1
+                dt = np.array(dt)
                 gt += dt * dt
-                self.trans += rate * (dt - l2 * self.trans) / np.sqrt(gt)
-                ds, de = -p[0], -p[-1]
-                ds[y[0]] += 1
-                de[y[-1]] += 1
-                gs += ds * ds
-                ge += de * de
-                self.start += rate * ds / np.sqrt(gs)
-                self.end += rate * de / np.sqrt(ge)
+                self.trans += (rate * (dt - l2 * self.trans.reshape(-1, 4)) / np.sqrt(gt)).reshape(-1, 2, 2)
+                for w, g, at in ((self.start, gs, 0), (self.end, ge, -1)):
+                    d2 = np.array([free[at] - held[at], held[at] - free[at]])
+                    g += d2 * d2
+                    w += rate * d2 / np.sqrt(g)
         return self

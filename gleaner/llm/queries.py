@@ -28,9 +28,20 @@ def p7_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return normalise.canonical_columns(items(spark, sf, "title", "content", "author").dropDuplicates(["id"]), ["title", "content", "author"])
 
 
+def _residue(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_fields(spread(items(spark, sf, "publisher", "title", "content")), "id", "publisher", {"title": True, "content": False})
+
+
 @query
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return residue.residue_fields(spread(items(spark, sf, "publisher", "title", "content")), "id", "publisher", {"title": True, "content": False})
+    return _residue(spark, sf).select("id", "field_name")
+
+
+@query
+def p6_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Per field: residue that recurs across sources, what its words alone tell, and what only recurrence tells."""
+    got = _residue(spark, sf)
+    return got.groupBy("field_name").agg(F.count("*").alias("n"), F.count("sources").alias("recurring"), F.count_if(~F.col("sure")).alias("only_recurring"), F.max("sources").alias("most_sources"))
 
 
 @query
@@ -46,8 +57,8 @@ def p10_hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stripper(spark: SparkSession, sf: str) -> boilerplate.Stripper:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return boilerplate.fit([(items(spark, sf, "content"), "id", "content"), (docs, "doc_id", "text")], docs)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return boilerplate.fit([(spread(items(spark, sf, "content", "publisher")), "id", "content", "publisher"), (spread(docs), "doc_id", "text", "source")], docs)
 
 
 @query
@@ -76,9 +87,10 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cuts(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = items(spark, sf, "content"), table(spark, sf, "documents").select("doc_id", "text")
-    model, counted, trees = truncation.fit([(a, "id", "content"), (b, "doc_id", "text")], 1)
-    return truncation.cut_records([(spread(a), "id", "content", "corpus_items"), (spread(b), "doc_id", "text", "documents")], model, counted, trees, 1)
+    a, b = items(spark, sf, "content", "publisher"), table(spark, sf, "documents").select("doc_id", "text", "source")
+    stripper = boilerplate.fit([(spread(a), "id", "content", "publisher"), (spread(b), "doc_id", "text", "source")])
+    model, trees = truncation.fit([(a, "id", "content"), (b, "doc_id", "text")], stripper, 1)
+    return truncation.cut_records([(spread(a), "id", "content", "corpus_items"), (spread(b), "doc_id", "text", "documents")], model, trees, 1, stripper)
 
 
 @query
@@ -103,11 +115,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
-    a = items(spark, sf, "cluster_id", "content", "fetched_at", "trust")
-    texts = a.select("id", "content")
-    stripper = boilerplate.fit([(texts, "id", "content")])
-    model, counted, _ = truncation.fit([(texts, "id", "content")])
-    return cut(survivor.completeness(survivor.text_grades(spread(a), "id", "cluster_id", "content", "fetched_at", "trust", stripper, model, counted)), "grades")
+    a = items(spark, sf, "cluster_id", "content", "fetched_at", "trust", "publisher")
+    stripper = boilerplate.fit([(spread(a), "id", "content", "publisher")])
+    model, _ = truncation.fit([(a.select("id", "content"), "id", "content")], stripper)
+    return cut(survivor.completeness(survivor.text_grades(spread(a), "id", "cluster_id", "content", "fetched_at", "trust", stripper, model)), "grades")
 
 
 @query

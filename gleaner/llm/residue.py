@@ -1,15 +1,19 @@
 """Template residue and error-page text in place of real content.
 
-A field's text is masked (numbers, addresses, dates, hex ids), masked texts are
-grouped by exact hash across sources, and three rules decide:
-
-* placeholder syntax outside code spans and quotations, in a text of any length;
-* a known notice, stub or filler phrase that makes up a short text;
-* a short text with message vocabulary whose masked form recurs in at least
-  ``min_sources`` sources.
-
-Defined cases: null and blank values are no case; replayed rows count once;
-texts about notices are long or quote them and are no case.
+A field's text is masked (numbers, addresses, dates, hex ids) and masked texts
+are grouped by exact hash over all values: how many sources carry the message,
+and beside how many different other fields (a reprint keeps its title, a notice
+stands under any). Rules then classify the messages:
+
+* placeholder syntax outside code spans and quotations, and texts of filler words;
+* messages that recur in at least ``min_sources`` sources and beside as many
+  other fields, of any length, with the vocabulary of notices in them;
+* messages seen too seldom to tell by recurrence, where the sentences that hold
+  a known phrase of notices, stubs or filler make up the text.
+
+Defined cases: null and blank values are no case; replayed rows count once; a
+null source counts as one source; texts about notices say other things in most
+of their sentences and are no case; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import key128, per_batch, utf8
+from gleaner.session import cut
 
-SHORT = 260
 MIN_SOURCES = 3
+NOTICE = 0.3  # share of a text its notice sentences make up
+SHARE = 0.15  # share of a notice sentence its phrase makes up
 
 CODE = re.compile(r"`[^`\n]*`|```.*?```|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|\"[^\"\n]{1,80}\"", re.S)
 PLACEHOLDER = re.compile(
@@ -66,11 +72,21 @@ WEAK = re.compile(
     r"|fehler|verweigert|anmelden|aktivieren|neu laden|wartung|nicht gefunden|denegado|recargue|inténtelo|navegador|mantenimiento|no encontrad[ao])\b|错误|登录|刷新|重试|浏览器|维护中|系统维护|过期|验证",
     re.I,
 )
+# fixed values: every match of STRONG or WEAK holds one of these, so that other sentences need no pattern
+TRIGGERS = (
+    "java", "script", "cookie", "request", "slow down", "went wrong", "gateway", "server", "traceback", "unavailable", "denied", "forbidden", "found", "page you", "page does",
+    "not have access", "sign in", "log in", "expired", "not available in your", "human", "just a moment", "a robot", "captcha", "verweigert", "gefunden", "bitte melden", "anfragen",
+    "abgelaufen", "denegado", "encontrad", "inicie", "solicitudes", "caducad", "goes here", "sample text", "replace this", "asdf", "qwer", "zxcv", "test test", "texto de ejemplo",
+    "sustituir", "hier steht", "beispieltext", "platzhalter", "error", "retry", "reload", "refresh", "try again", "maintenance", "blocked", "redirect", "loading", "browser", "template",
+    "placeholder", "draft", "fehler", "anmelden", "aktivieren", "neu laden", "wartung", "recargue", "inténtelo", "navegador", "mantenimiento", "错误", "登录", "刷新", "重试", "浏览器", "维护", "过期",
+    "验证", "访问", "权限", "无权", "页面", "服务器", "启用", "开启", "所在地区", "此处", "示例", "在此",
+)
 _URL = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)+\b")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _DATE = re.compile(r"\b\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?")
 _NUM = re.compile(r"\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 
 
 def mask(s: str) -> str:
@@ -94,55 +110,77 @@ def filler(s: str) -> bool:
     return len(w) >= 3 and sum(x in FILLER for x in w) >= 0.75 * len(w)
 
 
+def _told(s: str) -> bool:
+    low = s.lower()
+    return any(x in low for x in TRIGGERS)
+
+
 def verdict(s: str, title: bool) -> int:
-    """2: residue by itself; 1: residue if its masked form recurs widely; 0: none."""
+    """2: residue by its own words; 1: a message with the vocabulary of notices, residue if it recurs widely; 0: none."""
     t = s.strip()
     if not t:
         return 0
     if placeholder(t) or filler(t):
         return 2
-    if len(t) > SHORT:
-        return 0
     if title:
-        if TITLE.fullmatch(mask(t)) or TODO.search(t):
-            return 2
-        return 1 if len(t) <= 60 and WEAK.search(t) else 0
+        return 2 if TITLE.fullmatch(mask(t)) or TODO.search(t) else int(_told(t) and bool(WEAK.search(t)))
     bare = CODE.sub(" ", t)
     if TODO.search(bare):
         return 2
-    if m := STRONG.search(bare):
-        # the notice is the text, not a remark inside a story
-        rest = bare[: m.start()] + bare[m.end() :]
-        return 2 if len(rest) <= 150 or TITLE.fullmatch(mask(bare.split("\n")[0])) else 1
-    if TITLE.fullmatch(mask(t)):
+    told = _told(bare)
+    if bare.count(" ") < 12 and TITLE.fullmatch(mask(t)):  # a heading's stub in place of a text
+        return 2
+    if not told:
+        return 0
+    known = notice = total = 0
+    for x in _SENTENCE.split(bare):
+        total += len(x)
+        if _told(x):
+            m = STRONG.search(x)
+            if m and m.end() - m.start() >= SHARE * len(x):
+                known += len(x)
+            elif WEAK.search(x) or TITLE.fullmatch(mask(x)):
+                notice += len(x)
+    # the notice is the text, not a remark inside a story
+    if known and (known + notice >= NOTICE * total or TITLE.fullmatch(mask(t.split("\n")[0]))):
         return 2
-    return 1 if len(t) <= 150 and WEAK.search(bare) else 0
+    return int(known + notice >= NOTICE / 2 * total)
+
+
+def messages(rows: DataFrame, by: list[str], min_sources: int = MIN_SOURCES) -> DataFrame:
+    """(*by) of the messages that recur: rows with ``src`` and ``beside`` (hash of the other field) in ``min_sources`` of each at least."""
+    kinds = rows.groupBy(*by, "src", "beside").agg(F.lit(1).alias("one"))
+    per = kinds.groupBy(*by).agg(F.countDistinct("src").alias("sources"), F.countDistinct("beside").alias("besides"))
+    return per.where((F.col("sources") >= min_sources) & (F.col("besides") >= min_sources))
 
 
 def residue_fields(df: DataFrame, id_col: str, source_col: str, fields: dict[str, bool], min_sources: int = MIN_SOURCES) -> DataFrame:
-    """(id, field_name) of residue; ``fields`` maps a column to whether it is a title.
+    """(id, field_name, sure, sources) of residue; ``fields`` maps a column to whether it is a title; ``sources`` is null for messages that do not recur.
 
-    One pass over the texts keeps only suspicious values with the hash of their
-    masked form; what is shuffled are those few rows.
+    One pass over the texts keeps only values with some evidence and the hash of
+    their masked form; what is shuffled are those few rows.
     """
 
     def scan(b: pd.DataFrame) -> pd.DataFrame:
         out = []
         known: dict = {}
+        names = list(fields)
         for f, is_title in fields.items():
-            for i, src, v in zip(b["_id"], b["_src"], b[f]):
+            others = [b[o] for o in names if o != f]
+            for k, (i, src, v) in enumerate(zip(b["_id"], b["_src"], b[f])):
                 s = utf8(v)
                 if s:
                     at = (f, s)
                     if at not in known:
                         known[at] = verdict(s, is_title)
                     if known[at]:
-                        out.append((i, f, utf8(src), known[at] == 2, key128(mask(s))))
-        return pd.DataFrame(out, columns=["id", "field_name", "src", "sure", "masked"])
+                        beside = "\x00".join(mask(utf8(o.iloc[k])) for o in others)
+                        out.append((i, f, utf8(src), known[at] == 2, key128(mask(s)), key128(beside)))
+        return pd.DataFrame(out, columns=["id", "field_name", "src", "sure", "masked", "beside"])
 
     src = df.select(F.col(id_col).cast("string").alias("_id"), F.col(source_col).cast("string").alias("_src"), *fields).where("_id IS NOT NULL")
-    hits = src.mapInPandas(per_batch(scan), "id string, field_name string, src string, sure boolean, masked binary")
-    # one row per id, field and masked text; then the number of sources of each masked text, again pre-aggregated
-    rows = hits.groupBy("id", "field_name", "masked").agg(F.max("sure").alias("sure"), F.min("src").alias("src"))
-    wide = rows.groupBy("field_name", "masked", "src").agg(F.lit(1).alias("one")).groupBy("field_name", "masked").agg(F.count("one").alias("sources"))
-    return rows.join(wide, ["field_name", "masked"]).where(F.col("sure") | (F.col("sources") >= min_sources)).select("id", "field_name").distinct()
+    hits = src.mapInPandas(per_batch(scan), "id string, field_name string, src string, sure boolean, masked binary, beside binary")
+    # one row per id, field and masked text; then the spread of each masked text, again pre-aggregated
+    rows = cut(hits.groupBy("id", "field_name", "masked").agg(F.max("sure").alias("sure"), F.min("src").alias("src"), F.min("beside").alias("beside")), "notices")
+    wide = messages(rows, ["field_name", "masked"], min_sources).select("field_name", "masked", "sources")
+    return rows.join(wide, ["field_name", "masked"], "left").where(F.col("sure") | F.col("sources").isNotNull()).groupBy("id", "field_name").agg(F.max("sure").alias("sure"), F.max("sources").alias("sources"))

@@ -36,21 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import residue, spam
-from gleaner.llm.boilerplate import SECTIONS, SURE, bullet
+from gleaner.llm.boilerplate import Stripper, bullet
 from gleaner.llm.common import key128, per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
 from gleaner.session import cut
 
-SAMPLE = 1500
+SAMPLE = 3000
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 16)
 RECUR = 3e-4
 FEW = 45
 MID, WORD = 2, 6  # lines that go on, to ends, for a cut inside a word and after one
 BITS = 24
 PULL = 1.5
+LEAN = 4.0
 MEANT = 40
-WEIGHT = 4.0
-COMPLETE = 19.0  # complete values to cut ones, before looking
+LEAST = 0.4  # log-odds of a complete end under which a value counts as cut: half the expected F1
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _CUT = re.compile(r"(?:\[\s*(?:…|\.\.\.)\s*\]|\[\+\d+ (?:chars?|more)\]|�|\((?:more|truncated)\)|<truncated>|(?<=\S)-)\s*$")
@@ -71,11 +71,11 @@ def language(s: str) -> int:
     return int(np.argmax(n))
 
 
-def _kinds(lines: list[str]) -> int:
-    """0: no other plain lines; 1: the page's plain lines mostly end with a stop; 2: mostly without."""
+def _kinds(lines: list[str], last: str = "") -> int:
+    """0: no other plain lines and no stop inside the last one; 1: the page's plain lines (or the last one's sentences) mostly end with a stop; 2: mostly without."""
     plain = [x for x in lines if len(x) > 25 and not bullet(x)]
     if not plain:
-        return 0
+        return int(bool(_STOP.search(last)))
     return 1 if sum(bool(_DONE.search(x)) for x in plain) * 2 >= len(plain) else 2
 
 
@@ -89,24 +89,22 @@ def _line_kind(line: str, page: int) -> int:
         k = 5
     elif len(line) <= 12 if _ZH.search(line) else line.count(" ") < (4 if b else 3) and len(line) <= 45:
         k = 6 if b else 4
+    elif sum(map(str.isalpha, line)) < 8 and not _ZH.search(line):
+        k = 4
     else:
         k = 0 if b else 1 if _STOP.search(line) else 2 if len(line) > (45 if _ZH.search(line) else 90) else 3
     return k * 3 + page
 
 
-def _codes(line: str) -> np.ndarray:
-    s = "\n" + _DIGIT.sub("0", line)
+def _codes(lines: list[str]) -> np.ndarray:
+    """Characters of all lines in one array, a line break before each, digits alike."""
+    s = _DIGIT.sub("0", "\n" + "\n".join(lines)) if lines else ""
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
 
 
-def _hashes(codes: np.ndarray, order: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the contexts of one order that end at each position of one line."""
-    h = codes.copy()
+def _seal(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for j in range(1, order):
-            h[j:] = h[j:] + codes[:-j] * np.uint64(pow(_BASE, j, 1 << 64))
-        pos = np.arange(order - 1, len(codes))
-        return pos, (h[pos] ^ (salt[pos] * np.uint64(_BASE))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (salt * np.uint64(_BASE))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _partial_kinds(line: str, page: int) -> np.ndarray:
@@ -147,154 +145,156 @@ def _ends(line: str) -> np.ndarray:
     return out
 
 
+def body_lines(text: str, stripper: Stripper | None) -> list[str]:
+    """A text's lines without furniture; none if its last line is furniture (the text went on to its end)."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    if stripper is None or not lines or _DONE.search(lines[-1]):
+        return lines
+    y = stripper.marks(lines)
+    return [] if y[-1] else [x for x, v in zip(lines, y) if not v]
+
+
 class Backward:
-    """Counts of contexts at ends and inside lines."""
+    """Counts of contexts at ends and inside lines, and how often unstopped last lines of each kind are cuts.
+
+    Last lines without a stop count as neither: whether they end is the question, and copies of one cut text must not answer it.
+    """
 
     def __init__(self) -> None:
         self.end: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.inside: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.totals: dict[int, tuple[float, float]] = {}
-        self.threshold: dict[tuple[int, int], float] = {}
         self.prior: dict[int, float] = {}
 
-    def fit(self, values: list[tuple[int, str]], hold: int = 5) -> Backward:
-        """values: (column number, text); every ``hold``-th is held out for the thresholds."""
-        lines = []
-        held = []
-        for k, (col, text) in enumerate(values):
-            parts = [x.strip() for x in text.split("\n") if x.strip()]
+    def fit(self, values: list[tuple[int, str]], stripper: Stripper | None = None) -> Backward:
+        """values: (column number, text); copies of a text count once; unstopped ends are those of bodies without furniture."""
+        lines, asked = [], []
+        for col, text in sorted(set(values)):
+            parts = body_lines(text, stripper)
             if not parts:
                 continue
-            lang, page = language(text), _kinds(parts[:-1])
-            (held if k % hold == 0 else lines).extend((col, lang, page, x, n == len(parts) - 1) for n, x in enumerate(parts))
-        et: dict[int, float] = {}
-        ct: dict[int, float] = {}
-        coded = []
-        for col, lang, page, x, last in lines:
-            if last and (m := _DOTS.search(x) or _CUT.search(x)):
-                x = x[: m.start()]
-                if not x:
-                    continue
-            codes, salt, stop = _codes(x), _partial_kinds(x, page) + np.uint64((col * 4 + lang) * 3 * KINDS), _ends(x)
-            if last and m:
-                stop[-1] = False
-            for store, which in ((et, stop), (ct, ~stop)):
-                for k, n in zip(*np.unique(salt[which], return_counts=True)):
-                    store[int(k)] = store.get(int(k), 0) + int(n)
-            coded.append((codes, salt, stop))
-        # how often lines of a kind end without a stop, from lines inside the pages: the prior of a complete end
-        plain: dict[int, list[int]] = {}
-        for col, lang, page, x, last in lines:
-            if not last:
-                n = plain.setdefault((col * 4 + lang) * 3 * KINDS + _line_kind(x, page), [0, 0])
-                n[0] += not _DONE.search(x)
-                n[1] += 1
-        self.prior = {k: math.log(COMPLETE * (a + 0.5) / (b + 1.0)) for k, (a, b) in plain.items() if b >= 8}
-        self.totals = {k: (et.get(k, 0) + 1.0, ct.get(k, 0) + 1.0) for k in set(et) | set(ct)}
-        for order in ORDERS:
-            ends, inside = [], []
-            for codes, salt, stop in coded:
-                if len(codes) < order:
-                    continue
-                pos, h = _hashes(codes, order, salt)
-                ends.append(h[stop[pos]])
-                inside.append(h[~stop[pos]])
-            for store, got, least in ((self.end, ends, 1), (self.inside, inside, 2)):
-                if got:
-                    u, c = np.unique(np.concatenate(got), return_counts=True)
-                    store[order] = (u[c >= least], c[c >= least].astype(np.float32))
-                else:
-                    store[order] = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
-        self._thresholds(held)
+            lang, page = language(text), _kinds(parts[:-1], parts[-1])
+            stratum = (col * 4 + lang) * 3 * KINDS
+            last, sign = parts[-1], None
+            if sign := _DOTS.search(last) or _CUT.search(last):
+                last = last[: sign.start()].rstrip()
+            open_ = bool(sign) or not _DONE.search(last)
+            lines += [(stratum, page, x, False) for x in parts[:-1]]
+            if last:
+                lines.append((stratum, page, last, open_))
+                if open_ and not sign and not residue.verdict(text, False):
+                    listed = len(parts) > 1 and not _DONE.search(parts[-2]) and bullet(parts[-2]) == bullet(last)
+                    asked.append(((stratum, _line_kind(last, page), last), listed))
+        self._count(lines)
+        self._priors(lines, asked)
         return self
 
-    def _count(self, store, order: int, h: np.ndarray) -> np.ndarray:
+    def _count(self, lines: list[tuple[int, int, str, bool]]) -> None:
+        codes = _codes([x for _, _, x, _ in lines])
+        n = np.array([len(x) + 1 for _, _, x, _ in lines], dtype=np.int64)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        salt = np.concatenate([_partial_kinds(x, page) + np.uint64(stratum) for stratum, page, x, _ in lines]) if lines else np.zeros(0, np.uint64)
+        at_end = np.concatenate([_ends(x) for _, _, x, _ in lines]) if lines else np.zeros(0, bool)
+        known = np.ones(len(codes), dtype=bool)
+        if lines:
+            known[(np.cumsum(n) - 1)[np.array([o for *_, o in lines])]] = False
+        et, ct = ({int(k): float(c) for k, c in zip(*np.unique(salt[known & w], return_counts=True))} for w in (at_end, ~at_end))
+        self.totals = {k: (et.get(k, 0.0) + 1.0, ct.get(k, 0.0) + 1.0) for k in set(et) | set(ct)}
+        h, done = codes.copy(), 1
+        for order in ORDERS:
+            with np.errstate(over="ignore"):
+                for j in range(done, order):
+                    h[j:] += codes[: len(codes) - j] * np.uint64(pow(_BASE, j, 1 << 64))
+            done = order
+            ok = known & (place >= order - 1)
+            for store, which, least in ((self.end, at_end, 1), (self.inside, ~at_end, 2)):
+                u, c = np.unique(_seal(h[ok & which], salt[ok & which]), return_counts=True)
+                store[order] = (u[c >= least], c[c >= least].astype(np.float32))
+
+    @staticmethod
+    def _seen(store, order: int, h: np.ndarray) -> np.ndarray:
         u, c = store[order]
         if len(u) == 0:
             return np.zeros(len(h))
         at = np.minimum(np.searchsorted(u, h), len(u) - 1)
         return np.where(u[at] == h, c[at], 0.0)
 
-    def log_odds(self, tails: list[tuple[int, int, str]], own: np.ndarray | None = None) -> np.ndarray:
-        """log P(context | end) - log P(context | inside) for (stratum, line kind, last line); ``own``: 1 where the line was among the counted ends."""
-        n = len(tails)
-        own = np.zeros(n) if own is None else own
-        tot = np.array([self.totals.get(a + b, (1.0, 1.0)) for a, b, _ in tails]).reshape(-1, 2)
-        e_before, c_before = np.maximum(tot[:, 0] - own, 0), tot[:, 1]
-        odds = np.zeros(n)
-        alive = np.ones(n, dtype=bool)
+    def log_odds(self, tails: list[tuple[int, int, str]]) -> np.ndarray:
+        """log P(context | end) - log P(context | inside) for (stratum, line kind, last line)."""
+        n, top = len(tails), ORDERS[-1]
+        if not n:
+            return np.zeros(0)
+        # the last characters of each line, the last one first; a line break before the first
+        rows = _codes([x[-top:].rjust(top) for _, _, x in tails]).reshape(n, top + 1)[:, :0:-1]
+        length = np.array([min(len(x), top) for _, _, x in tails])
+        brk = _codes([""])[0]
+        rows = np.where(np.arange(top)[None, :] == length[:, None], brk, rows)
+        salt = np.array([a + b for a, b, _ in tails], dtype=np.uint64)
+        tot = np.array([self.totals.get(a + b, (1.0, 1.0)) for a, b, _ in tails])
+        e_before, c_before = tot[:, 0], tot[:, 1]
+        odds, alive = np.zeros(n), np.ones(n, dtype=bool)
+        whole = np.array([len(x) for _, _, x in tails]) + 1
         for order in ORDERS:
-            h, ok = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
-            for k, (stratum, kind, line) in enumerate(tails):
-                if alive[k]:
-                    codes = _codes(line[-order:])[1:] if len(line) >= order else _codes(line)
-                    if len(codes) >= order:
-                        h[k] = _hashes(codes[-order:], order, np.full(order, stratum + kind, dtype=np.uint64))[1][0]
-                        ok[k] = True
-            alive &= ok
+            alive &= whole >= order
             if not alive.any():
                 break
-            e, c = np.maximum(0, self._count(self.end, order, h) - own), self._count(self.inside, order, h)
+            with np.errstate(over="ignore"):
+                h = _seal((rows[:, :order] * np.array([pow(_BASE, j, 1 << 64) for j in range(order)], dtype=np.uint64)).sum(axis=1, dtype=np.uint64), salt)
+            e, c = self._seen(self.end, order, h), self._seen(self.inside, order, h)
             inside = (c + 0.5) / (c_before + 1.0)
-            at_end = (e + PULL * inside) / (e_before + PULL)
-            odds += np.where(alive, np.log(at_end / inside), 0.0)
+            odds += np.where(alive, np.log((e + PULL * inside) / (e_before + PULL) / inside), 0.0)
             e_before, c_before = e, c
             alive &= e + c > 0
         return odds
 
-    def _thresholds(self, held) -> None:
-        rng = np.random.default_rng(5)
-        by: dict[tuple[int, int], tuple[list, list]] = {}
-        for col, lang, page, x, last in held:
-            good, bad = by.setdefault((col, lang), ([], []))
-            stratum = (col * 4 + lang) * 3 * KINDS
-            if not _DONE.search(x) and not _CUT.search(x) and not _DOTS.search(x):
-                good.append((stratum, _line_kind(x, page), x))
-            if len(x) > 12:
-                for c in rng.integers(6, len(x) - 1, 2):
-                    part = x[:c].rstrip()
-                    if part and not _DONE.search(part):
-                        bad.append((stratum, _line_kind(part, page), part))
-        for at, (good, bad) in by.items():
-            if len(good) < 20 or len(bad) < 20:
-                continue
-            g, b = np.sort(self.score(good)), np.sort(self.score(bad))
-            grid = np.linspace(-3, 2, 41)
-            # complete ends without a stop are several times as frequent as cuts
-            loss = [WEIGHT * np.searchsorted(g, t) / len(g) + 1 - np.searchsorted(b, t) / len(b) for t in grid]
-            self.threshold[at] = float(grid[int(np.argmin(loss))])
-
-    def cut_at(self, col: int, lang: int) -> float:
-        return self.threshold.get((col, lang), -0.5)
-
-    def score(self, tails: list[tuple[int, int, str]], own: np.ndarray | None = None, listed: np.ndarray | None = None) -> np.ndarray:
-        """Log-odds of a complete end: the context's, and the prior of the kind of line; items of an unstopped list count as complete by another 2."""
-        odds = self.log_odds(tails, own)
-        prior = np.array([self.prior.get(a + b, 0.0 if b // 3 in (1, 2) else math.log(COMPLETE)) for a, b, _ in tails])
-        out = odds + prior + (0 if listed is None else 2.0 * listed)
-        for k, (_, b, _) in enumerate(tails):
-            if b // 3 in (4, 5, 6):  # a few words, tags: left to the counts over all values
-                out[k] = 9.0
-        return out
-
-
-def fit(columns: list[tuple[DataFrame, str, str]], spam_column: int | None = None, sample: int = SAMPLE) -> tuple[Backward, set, BaggedTrees | None]:
-    """Model, the keys whose ends it counted, and spam trees fitted on the sample of ``spam_column``."""
-    values, keys, trees = [], set(), None
+    def _priors(self, lines: list[tuple[int, int, str, bool]], asked: list[tuple[tuple[int, int, str], bool]]) -> None:
+        """Log-odds of complete to cut among unstopped last lines, per stratum and kind of line.
+
+        The share of cuts is the one under which the lines' own log-odds are likeliest
+        (expectation maximisation); it leans on that of the kind over all languages and
+        columns by ``LEAN`` lines, and that on the share of unstopped lines within pages.
+        """
+        odds = np.clip(self.log_odds([t for t, _ in asked]), -8, 8) if asked else np.zeros(0)
+        kind = np.array([b * 2 + g for (_, b, _), g in asked], dtype=np.int64)
+        key = np.array([(a + b) * 2 + g for (a, b, _), g in asked], dtype=np.int64)
+
+        def settle(o: np.ndarray, lean: float) -> float:
+            share = lean
+            for _ in range(60):
+                p = share / (share + (1 - share) * np.exp(o))
+                share = (p.sum() + LEAN * lean) / (len(o) + LEAN)
+            return float(share)
+
+        every = settle(odds, 0.5)
+        pooled = {int(k): settle(odds[kind == k], every) for k in np.unique(kind)}
+        self.base = math.log((1 - every) / every)
+        self.pooled = {k: math.log((1 - v) / v) for k, v in pooled.items()}
+        for k in np.unique(key):
+            at = key == k
+            v = settle(odds[at], pooled[int(kind[at][0])])
+            self.prior[int(k)] = math.log((1 - v) / v)
+
+    def score(self, tails: list[tuple[int, int, str]], listed: list[bool]) -> np.ndarray:
+        """Log-odds of a complete end, against a cut: the context's and its stratum's."""
+        prior = [self.prior.get((a + b) * 2 + g, self.pooled.get(b * 2 + g, self.base)) for (a, b, _), g in zip(tails, listed)]
+        return self.log_odds(tails) + np.array(prior)
+
+
+def fit(columns: list[tuple[DataFrame, str, str]], stripper: Stripper | None = None, spam_column: int | None = None, sample: int = SAMPLE) -> tuple[Backward, BaggedTrees | None]:
+    """Model, and spam trees fitted on the sample of ``spam_column``."""
+    values, trees = [], None
     for col, (df, key, text) in enumerate(columns):
-        rows = [(str(r[key]), r[text]) for r in sample_rows(df.where(F.length(F.trim(F.col(text))) > 0), key, sample)]
-        values += [(col, t) for _, t in rows]
-        keys |= {(col, k) for k, _ in rows}
-        if col == spam_column and rows:
-            x = np.array([spam.features(t) for _, t in rows])
+        got = [r[text] for r in sample_rows(df.where(F.length(F.trim(F.col(text))) > 0), key, sample)]
+        values += [(col, t) for t in got]
+        if col == spam_column and got:
+            x = np.array([spam.features(t) for t in got])
             y = spam.weak_label(x)
             trees = BaggedTrees(x[y >= 0], y[y >= 0])
-    return Backward().fit(values), keys, trees
+    return Backward().fit(values, stripper), trees
 
 
-def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted: set, trees: BaggedTrees | None, names: list[str] | None = None) -> list[tuple[str, int, str, str]]:
-    """(id, verdict, last line, line before it) of suspicious values; 1: cut, 2: a short last line with an ellipsis, 3: one of a few words or tags; both are left to :func:`cut_lines`. ``names``: the keys to look up among the counted ones, if ids are others."""
-    name = dict(zip(ids, names)) if names is not None else {}
+def judge(col: int, ids: list[str], texts: list[str], model: Backward, trees: BaggedTrees | None, stripper: Stripper | None = None) -> list[tuple[str, int, str, str]]:
+    """(id, verdict, last line, line before it) of suspicious values; 1: cut, 2: a short last line with an ellipsis, 3: one of a few words or tags; both are left to :func:`cut_lines`."""
     out, ask = [], []
     for i, raw in zip(ids, texts):
         s = raw.strip()
@@ -302,17 +302,18 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted:
             continue
         if _DONE.search(s) and not _DOTS.search(s) and not re.search(r"\d\.$", s):
             continue
-        lines = [x.strip() for x in s.split("\n") if x.strip()]
-        last = lines[-1]
         if _CUT.search(s):
-            out.append((i, 1, lines, s))
-        elif m := _DOTS.search(last):
+            out.append((i, 1, s.split("\n")[-1:], s))
+            continue
+        lines = body_lines(s, stripper)
+        if not lines:
+            continue
+        last = lines[-1]
+        if m := _DOTS.search(last):
             body = last[: m.start()]
             out.append((i, 2 if len(last) <= MEANT and not _STOP.search(body) else 1, lines, s))
-        elif SURE.search(last) or last.lower() in SECTIONS:
-            continue
         else:
-            page = _kinds(lines[:-1])
+            page = _kinds(lines[:-1], last)
             if _line_kind(last, page) // 3 in (4, 5, 6):
                 out.append((i, 3, lines, s))
                 continue
@@ -320,9 +321,8 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, counted:
             ask.append((i, lines, page, language(s), s, listed))
     if ask:
         tails = [((col * 4 + lang) * 3 * KINDS, _line_kind(lines[-1], page), lines[-1]) for _, lines, page, lang, _, _ in ask]
-        own = np.array([float((col, name.get(a[0], a[0])) in counted) for a in ask])
-        for (i, lines, _, lang, s, _), o in zip(ask, model.score(tails, own, np.array([float(a[5]) for a in ask]))):
-            if o < model.cut_at(col, lang):
+        for (i, lines, _, _, s, _), o in zip(ask, model.score(tails, [a[5] for a in ask])):
+            if o < LEAST:
                 out.append((i, 1, lines, s))
     keep = []
     for i, v, lines, s in out:
@@ -420,13 +420,13 @@ def cut_lines(rows: DataFrame, columns: list[tuple[DataFrame, str]]) -> DataFram
     return per.where(F.when(F.col("verdict") == 2, ~meant).otherwise(begun)).select("verdict", "whole")
 
 
-def cut_records(columns: list[tuple[DataFrame, str, str, str]], model: Backward, counted: set, trees: BaggedTrees | None, spam_column: int | None) -> DataFrame:
+def cut_records(columns: list[tuple[DataFrame, str, str, str]], model: Backward, trees: BaggedTrees | None, spam_column: int | None, stripper: Stripper | None = None) -> DataFrame:
     """(table_name, rec_id) of cut values; columns: (frame, key, text, table name). The values are judged once and their lines counted once; only suspicious rows and lines they ask for are shuffled."""
     out = None
     for col, (df, key, text, name) in enumerate(columns):
 
         def run(b: pd.DataFrame, col: int = col) -> pd.DataFrame:
-            got = judge(col, b["_k"].tolist(), [utf8(t) for t in b["_t"]], model, counted, trees if col == spam_column else None)
+            got = judge(col, b["_k"].tolist(), [utf8(t) for t in b["_t"]], model, trees if col == spam_column else None, stripper)
             return pd.DataFrame([(i, v, *asked(v, last, before)) for i, v, last, before in got], columns=["rec_id", "verdict", "line", "whole", "bit", "whole_bit", "class"])
 
         src = df.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL")

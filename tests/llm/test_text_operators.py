@@ -60,9 +60,9 @@ def test_no_residue(s):
 
 
 def test_residue_titles_and_recurrence(spark):
-    rows = [("a", "p1", "Untitled", "Fine text."), ("b", "p1", None, None), ("c", "p1", "Error in 3 parts", "x"), ("d", "p2", "Error in 4 parts", "x"), ("e", "p3", "Error in 5 parts", "x"), ("f", "p3", "A real story", "Please enable JavaScript to view this page."), ("f", "p3", "A real story", "Please enable JavaScript to view this page."), (None, "p", "Untitled", "")]
+    rows = [("a", "p1", "Untitled", "Fine text."), ("b", "p1", None, None), ("c", "p1", "Error in 3 parts", "x"), ("d", "p2", "Error in 4 parts", "y"), ("e", "p3", "Error in 5 parts", "z"), ("f", "p3", "A real story", "Please enable JavaScript to view this page."), ("f", "p3", "A real story", "Please enable JavaScript to view this page."), (None, "p", "Untitled", "")]
     d = spark.createDataFrame(rows, "id string, publisher string, title string, content string")
-    got = {tuple(r) for r in residue.residue_fields(d, "id", "publisher", {"title": True, "content": False}).collect()}
+    got = {tuple(r)[:2] for r in residue.residue_fields(d, "id", "publisher", {"title": True, "content": False}).collect()}
     assert got == {("a", "title"), ("c", "title"), ("d", "title"), ("e", "title"), ("f", "content")}
     assert residue.residue_fields(d.limit(0), "id", "publisher", {"title": True}).count() == 0
 
@@ -72,6 +72,20 @@ def test_filler_of_long_texts(text):
     assert residue.filler(text) and residue.verdict(text, False) == 2 and not residue.filler("The council met in May and sold the archive. " * 200)
 
 
+def test_messages_recur_without_their_phrases(spark, monkeypatch):
+    """With no phrase known, notices are told by recurrence across sources under unrelated titles; a reprint keeps its title."""
+    import re
+
+    monkeypatch.setattr(residue, "STRONG", re.compile("(?!)"))
+    notice = "Your browser was blocked. Request %d could not be served. Reload the page. " * 20
+    rows = [(f"n{k}", f"p{k}", f"Rain over {t}", notice % ((k,) * 20)) for k, t in enumerate(("Oslo", "Bern", "Lima", "Kyiv"))]
+    rows += [(f"s{k}", f"p{k}", "Browser wars", "A browser was blocked in court. Requests were refused.") for k in range(5)]
+    rows += [(f"l{k}", f"p{k}", f"Talk {t}", "One browser was blocked. " + "The council met and sold the archive to the town. " * 9) for k, t in enumerate(("a", "b", "c"))]
+    d = spark.createDataFrame(rows, "id string, publisher string, title string, content string")
+    got = residue.residue_fields(d, "id", "publisher", {"title": True, "content": False}).where("field_name = 'content'").collect()
+    assert {(r["id"], r["sure"], r["sources"]) for r in got} == {(f"n{k}", False, 4) for k in range(4)}
+
+
 # ---------------------------------------------------------------- p9
 def brute_longest(doc, passage):
     best = 0
@@ -151,12 +165,34 @@ def test_furniture_lines(spark):
     rng = random.Random(1)
     texts = ["\n".join(page(rng)[0]) for _ in range(60)]
     d = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("n", None), ("e", ""), ("b", " \n "), ("long", "A plain sentence here. " * 30000), ("0", texts[0])], "id string, content string").selectExpr("id", "content", "id as rec_id", "1 as line_no")
-    model = boilerplate.fit([(d.select("id", "content"), "id", "content")])
+    model = boilerplate.fit([(d.select("id", "content"), "id", "content", None)])
     got = {(r["rec_id"], r["line_no"]) for r in boilerplate.furniture_lines(d, "id", "content", "t", model, True).collect()}
     n = len(texts[0].split("\n"))
     assert {k for i, k in got if i == "0"} == {1, 2, n - 3, n - 2, n - 1, n}
     assert not [1 for i, _ in got if i in ("n", "e", "b", "long")]
-    assert boilerplate.furniture_lines(d.limit(0), "id", "content", "t", boilerplate.fit([(d.limit(0), "id", "content")]), False).count() == 0
+    assert boilerplate.furniture_lines(d.limit(0), "id", "content", "t", boilerplate.fit([(d.limit(0), "id", "content", None)]), False).count() == 0
+
+
+def test_furniture_without_its_phrases(spark, monkeypatch):
+    """Furniture that no seed knows is learnt from its recurrence; a DOM's tags are features too."""
+    import re
+
+    rng = random.Random(4)
+    top, end = ["Alpha ~ Beta ~ Gamma zone", "Zap the quux to wibble 12 frobs"], ["Wobble your flim here", "Blip 2024 Flum and sons"]
+    hidden = {x for x in top + end}
+    monkeypatch.setattr(boilerplate, "SURE", re.compile("(?!)"))
+    monkeypatch.setattr(boilerplate, "SECTIONS", set())
+    rows = []
+    for k in range(120):
+        body = page(rng, False)[0]
+        rows.append((f"r{k}", "\n".join((rng.sample(top, 1) if k % 3 else []) + body + (rng.sample(end, 1 + k % 2) if k % 4 else []))))
+    d = spark.createDataFrame(rows, "id string, content string")
+    model = boilerplate.fit([(d, "id", "content", None)])
+    got = {(r["rec_id"], r["line_no"]) for r in boilerplate.furniture_lines(d, "id", "content", "t", model, True).collect()}
+    want = {(i, k) for i, t in rows for k, x in enumerate(t.split("\n"), 1) if x in hidden}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+    f, _ = boilerplate.page_feats(["A line.", "Menu"], ["html/body/article/p", "html/body/nav/li"])
+    assert boilerplate._at("tagnav") in f[1] and boilerplate._at("tagnav") not in f[0]
 
 
 # ---------------------------------------------------------------- p4
@@ -173,19 +209,19 @@ def test_cut_texts(spark):
     rows = [(f"w{k}", t) for k, t in enumerate(whole)] + [(f"c{k}", t) for k, t in enumerate(cut)]
     rows += [(f"e{k}", t + "\ncheers...") for k, t in enumerate(whole[:8])] + [(f"s{k}", t[:-1]) for k, t in enumerate(whole[:20])] + [(f"m{k}", t[: len(t) // 2] + " […]") for k, t in enumerate(whole[:9])] + [("n", None), ("b", " "), ("c0", cut[0])]
     d = spark.createDataFrame(rows, "id string, t string").selectExpr("id", "t", "1 as verdict", "'x' as line")
-    model, counted, trees = truncation.fit([(d.select("id", "t"), "id", "t")])
-    got = {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, counted, trees, None).collect()}
+    model, trees = truncation.fit([(d.select("id", "t"), "id", "t")])
+    got = {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, trees, None).collect()}
     assert sum(f"c{k}" in got for k in range(60)) >= 54
     assert not [i for i in got if i[0] in "wenb"] and {f"m{k}" for k in range(9)} <= got
     assert sum(f"s{k}" in got for k in range(20)) <= 2
-    m, c, t = truncation.fit([(d.limit(0), "id", "t")])
-    assert truncation.cut_records([(d.limit(0), "id", "t", "x")], m, c, t, None).count() == 0
+    m, t = truncation.fit([(d.limit(0), "id", "t")])
+    assert truncation.cut_records([(d.limit(0), "id", "t", "x")], m, t, None).count() == 0
 
 
 def cut_ids(spark, rows, fitted="true"):
     d = spark.createDataFrame(rows, "id string, t string")
-    model, counted, trees = truncation.fit([(d.where(fitted), "id", "t")])
-    return {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, counted, trees, None).collect()}
+    model, trees = truncation.fit([(d.where(fitted), "id", "t")])
+    return {r["rec_id"] for r in truncation.cut_records([(d, "id", "t", "x")], model, trees, None).collect()}
 
 
 def test_cut_in_a_few_words(spark):
