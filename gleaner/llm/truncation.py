@@ -6,9 +6,12 @@ Contexts of up to 16 characters are read from the end backwards; each further
 character's probability at an end is drawn towards its probability inside a
 line, so that unseen contexts say nothing. Counts are kept apart by language,
 column and the kind of line. An end is a place before a stop or a line break, so
-that a complete text whose last stop is missing is still told from a cut. The log-odds threshold of each language and column is the one
-with the fewest errors on held-out pages: their complete line ends against cuts
-at every place of their lines.
+that a complete text whose last stop is missing is still told from a cut. Log-odds
+meet a prior of each language, column, kind of line and kind of page: how often
+complete lines of that kind (those before a page's last) lack a stop, and the
+share of cut texts, which is the one under which the last lines are likeliest.
+Values are judged by their body (p3); one whose last line is furniture went on
+to its end.
 
 The model is fitted on a bounded sample (``sample`` values of each column). A
 last line of a few words gives its n-grams too little to tell a name from a cut,
@@ -41,7 +44,7 @@ from gleaner.llm.common import key128, per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
 from gleaner.session import cut
 
-SAMPLE = 3000
+SAMPLE = 2400
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 16)
 RECUR = 3e-4
 FEW = 45
@@ -71,12 +74,16 @@ def language(s: str) -> int:
     return int(np.argmax(n))
 
 
+PAGES = 4
+
+
 def _kinds(lines: list[str], last: str = "") -> int:
-    """0: no other plain lines and no stop inside the last one; 1: the page's plain lines (or the last one's sentences) mostly end with a stop; 2: mostly without."""
-    plain = [x for x in lines if len(x) > 25 and not bullet(x)]
+    """How the page's longer plain lines end: 0 there are none (nor a stop inside the last one); 1 all with a stop; 2 mostly without; 3 a few without."""
+    plain = [x for x in lines if len(x) > (25 if _ZH.search(x) else 60) and not bullet(x)]
     if not plain:
         return int(bool(_STOP.search(last)))
-    return 1 if sum(bool(_DONE.search(x)) for x in plain) * 2 >= len(plain) else 2
+    bare = sum(not _DONE.search(x) for x in plain)
+    return 1 if not bare else 2 if bare * 2 > len(plain) else 3
 
 
 KINDS = 8
@@ -85,7 +92,9 @@ KINDS = 8
 def _line_kind(line: str, page: int) -> int:
     """Kind of a whole or partial line (tag line, bullet, prose with a stop inside, long, short, a few words), with the page's kind."""
     b = bullet(line)
-    if line[0] in "#@" and not b:
+    if b == "r" or line.startswith("http"):
+        k = 7
+    elif line[0] in "#@" and not b:
         k = 5
     elif len(line) <= 12 if _ZH.search(line) else line.count(" ") < (4 if b else 3) and len(line) <= 45:
         k = 6 if b else 4
@@ -93,7 +102,13 @@ def _line_kind(line: str, page: int) -> int:
         k = 4
     else:
         k = 0 if b else 1 if _STOP.search(line) else 2 if len(line) > (45 if _ZH.search(line) else 90) else 3
-    return k * 3 + page
+    return k * PAGES + page
+
+
+def _listed(before: str, line: str) -> bool:
+    """Whether a line goes on with lines of its form that have no stop."""
+    a, b = bullet(before) if before else "", bullet(line)
+    return bool(before) and not _DONE.search(before) and (a == b or bool(a and b))
 
 
 def _codes(lines: list[str]) -> np.ndarray:
@@ -113,6 +128,8 @@ def _partial_kinds(line: str, page: int) -> np.ndarray:
     zh = bool(_ZH.search(line))
     b = bullet(line)
     out = np.full(n + 1, 0 if b else 3, dtype=np.uint64)
+    if b == "r" or line.startswith("http"):
+        return np.full(n + 1, 7 * PAGES + page, dtype=np.uint64)
     if line[0] in "#@" and not b:
         out[:] = 5
     else:
@@ -130,7 +147,7 @@ def _partial_kinds(line: str, page: int) -> np.ndarray:
                     few = k + 1
                     break
         out[:few] = 6 if b else 4
-    return out * np.uint64(3) + np.uint64(page)
+    return out * np.uint64(PAGES) + np.uint64(page)
 
 
 def _ends(line: str) -> np.ndarray:
@@ -145,13 +162,13 @@ def _ends(line: str) -> np.ndarray:
     return out
 
 
-def body_lines(text: str, stripper: Stripper | None) -> list[str]:
-    """A text's lines without furniture; none if its last line is furniture (the text went on to its end)."""
+def body_lines(text: str, stripper: Stripper | None) -> tuple[list[str], bool]:
+    """A text's lines without furniture, and whether its last line is furniture (then the text went on to its end)."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if stripper is None or not lines or _DONE.search(lines[-1]):
-        return lines
+    if stripper is None or not lines:
+        return lines, False
     y = stripper.marks(lines)
-    return [] if y[-1] else [x for x, v in zip(lines, y) if not v]
+    return [x for x, v in zip(lines, y) if not v], bool(y[-1])
 
 
 class Backward:
@@ -164,29 +181,31 @@ class Backward:
         self.end: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.inside: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.totals: dict[int, tuple[float, float]] = {}
-        self.prior: dict[int, float] = {}
+        self.bare: dict[int, float] = {}
 
     def fit(self, values: list[tuple[int, str]], stripper: Stripper | None = None) -> Backward:
         """values: (column number, text); copies of a text count once; unstopped ends are those of bodies without furniture."""
-        lines, asked = [], []
+        lines, asked, whole, texts = [], [], [], 0
         for col, text in sorted(set(values)):
-            parts = body_lines(text, stripper)
+            parts, ended = body_lines(text, stripper)
             if not parts:
                 continue
             lang, page = language(text), _kinds(parts[:-1], parts[-1])
-            stratum = (col * 4 + lang) * 3 * KINDS
+            stratum = (col * 4 + lang) * PAGES * KINDS
             last, sign = parts[-1], None
             if sign := _DOTS.search(last) or _CUT.search(last):
                 last = last[: sign.start()].rstrip()
-            open_ = bool(sign) or not _DONE.search(last)
+            open_ = not ended and (bool(sign) or not _DONE.search(last))
             lines += [(stratum, page, x, False) for x in parts[:-1]]
+            texts += 1
+            for before, x in zip([""] + parts, parts[:-1]):
+                whole.append((stratum, _line_kind(x, page), _listed(before, x), not _DONE.search(x)))
             if last:
                 lines.append((stratum, page, last, open_))
                 if open_ and not sign and not residue.verdict(text, False):
-                    listed = len(parts) > 1 and not _DONE.search(parts[-2]) and bullet(parts[-2]) == bullet(last)
-                    asked.append(((stratum, _line_kind(last, page), last), listed))
+                    asked.append(((stratum, _line_kind(last, page), last), _listed(parts[-2] if len(parts) > 1 else "", last)))
         self._count(lines)
-        self._priors(lines, asked)
+        self._priors(whole, asked, texts)
         return self
 
     def _count(self, lines: list[tuple[int, int, str, bool]]) -> None:
@@ -247,36 +266,39 @@ class Backward:
             alive &= e + c > 0
         return odds
 
-    def _priors(self, lines: list[tuple[int, int, str, bool]], asked: list[tuple[tuple[int, int, str], bool]]) -> None:
-        """Log-odds of complete to cut among unstopped last lines, per stratum and kind of line.
+    def _priors(self, whole: list[tuple[int, int, bool, bool]], asked: list[tuple[tuple[int, int, str], bool]], texts: int) -> None:
+        """Log-odds of complete to cut among unstopped last lines, per stratum, kind of line and whether it goes on with a list.
 
-        The share of cuts is the one under which the lines' own log-odds are likeliest
-        (expectation maximisation); it leans on that of the kind over all languages and
-        columns by ``LEAN`` lines, and that on the share of unstopped lines within pages.
+        whole: (stratum, kind, listed, unstopped) of lines before the last, which are
+        complete: a complete last line lacks its stop as often as they do. The share of
+        cut texts is the one under which the last lines' log-odds are likeliest
+        (expectation maximisation).
         """
+        count: dict[int, list[float]] = {}
+        for a, b, g, bare in whole:
+            for k in ((a + b) * 2 + g, -1 - (b * 2 + g)):  # of the stratum, and over all languages and columns
+                n = count.setdefault(k, [0.0, 0.0])
+                n[0] += bare
+                n[1] += 1
+        every = sum(n[0] for k, n in count.items() if k < 0) / max(1.0, sum(n[1] for k, n in count.items() if k < 0)) or 0.5
+        pooled = {k: (n[0] + LEAN * every) / (n[1] + LEAN) for k, n in count.items() if k < 0}
+        self.bare = {k: (n[0] + LEAN * pooled[-1 - (k // 2 % (PAGES * KINDS) * 2 + k % 2)]) / (n[1] + LEAN) for k, n in count.items() if k >= 0} | pooled
+        self.every = every
         odds = np.clip(self.log_odds([t for t, _ in asked]), -8, 8) if asked else np.zeros(0)
-        kind = np.array([b * 2 + g for (_, b, _), g in asked], dtype=np.int64)
-        key = np.array([(a + b) * 2 + g for (a, b, _), g in asked], dtype=np.int64)
-
-        def settle(o: np.ndarray, lean: float) -> float:
-            share = lean
-            for _ in range(60):
-                p = share / (share + (1 - share) * np.exp(o))
-                share = (p.sum() + LEAN * lean) / (len(o) + LEAN)
-            return float(share)
-
-        every = settle(odds, 0.5)
-        pooled = {int(k): settle(odds[kind == k], every) for k in np.unique(kind)}
-        self.base = math.log((1 - every) / every)
-        self.pooled = {k: math.log((1 - v) / v) for k, v in pooled.items()}
-        for k in np.unique(key):
-            at = key == k
-            v = settle(odds[at], pooled[int(kind[at][0])])
-            self.prior[int(k)] = math.log((1 - v) / v)
+        u = np.log(np.array([self._bare(t[0], t[1], g) for t, g in asked]) + 1e-4) if asked else np.zeros(0)
+        share = 0.1
+        for _ in range(60):
+            # unstopped texts only: share of all texts, whose rest is complete
+            p = share / (share + (1 - share) * np.exp(odds + u))
+            share = (float(p.sum()) + 1.0) / (texts + 10.0)
+        self.base = math.log((1 - share) / share)
+
+    def _bare(self, stratum: int, kind: int, listed: bool) -> float:
+        return self.bare.get((stratum + kind) * 2 + listed, self.bare.get(-1 - (kind * 2 + listed), self.every))
 
     def score(self, tails: list[tuple[int, int, str]], listed: list[bool]) -> np.ndarray:
-        """Log-odds of a complete end, against a cut: the context's and its stratum's."""
-        prior = [self.prior.get((a + b) * 2 + g, self.pooled.get(b * 2 + g, self.base)) for (a, b, _), g in zip(tails, listed)]
+        """Log-odds of a complete end, against a cut: the context's, and how seldom complete lines of its kind lack a stop."""
+        prior = [self.base + math.log(self._bare(a, b, g) + 1e-4) for (a, b, _), g in zip(tails, listed)]
         return self.log_odds(tails) + np.array(prior)
 
 
@@ -305,8 +327,8 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, trees: Ba
         if _CUT.search(s):
             out.append((i, 1, s.split("\n")[-1:], s))
             continue
-        lines = body_lines(s, stripper)
-        if not lines:
+        lines, ended = body_lines(s, stripper)
+        if ended or not lines:
             continue
         last = lines[-1]
         if m := _DOTS.search(last):
@@ -314,13 +336,12 @@ def judge(col: int, ids: list[str], texts: list[str], model: Backward, trees: Ba
             out.append((i, 2 if len(last) <= MEANT and not _STOP.search(body) else 1, lines, s))
         else:
             page = _kinds(lines[:-1], last)
-            if _line_kind(last, page) // 3 in (4, 5, 6):
+            if _line_kind(last, page) // PAGES in (4, 5, 6):
                 out.append((i, 3, lines, s))
                 continue
-            listed = len(lines) > 1 and not _DONE.search(lines[-2]) and bullet(lines[-2]) == bullet(last)
-            ask.append((i, lines, page, language(s), s, listed))
+            ask.append((i, lines, page, language(s), s, _listed(lines[-2] if len(lines) > 1 else "", last)))
     if ask:
-        tails = [((col * 4 + lang) * 3 * KINDS, _line_kind(lines[-1], page), lines[-1]) for _, lines, page, lang, _, _ in ask]
+        tails = [((col * 4 + lang) * PAGES * KINDS, _line_kind(lines[-1], page), lines[-1]) for _, lines, page, lang, _, _ in ask]
         for (i, lines, _, _, s, _), o in zip(ask, model.score(tails, [a[5] for a in ask])):
             if o < LEAST:
                 out.append((i, 1, lines, s))
@@ -423,10 +444,12 @@ def cut_lines(rows: DataFrame, columns: list[tuple[DataFrame, str]]) -> DataFram
 def cut_records(columns: list[tuple[DataFrame, str, str, str]], model: Backward, trees: BaggedTrees | None, spam_column: int | None, stripper: Stripper | None = None) -> DataFrame:
     """(table_name, rec_id) of cut values; columns: (frame, key, text, table name). The values are judged once and their lines counted once; only suspicious rows and lines they ask for are shuffled."""
     out = None
+    shared = columns[0][0].sparkSession.sparkContext.broadcast((model, trees, stripper))  # of bounded samples
     for col, (df, key, text, name) in enumerate(columns):
 
         def run(b: pd.DataFrame, col: int = col) -> pd.DataFrame:
-            got = judge(col, b["_k"].tolist(), [utf8(t) for t in b["_t"]], model, trees if col == spam_column else None, stripper)
+            m, t, st = shared.value
+            got = judge(col, b["_k"].tolist(), [utf8(x) for x in b["_t"]], m, t if col == spam_column else None, st)
             return pd.DataFrame([(i, v, *asked(v, last, before)) for i, v, last, before in got], columns=["rec_id", "verdict", "line", "whole", "bit", "whole_bit", "class"])
 
         src = df.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL")
