@@ -138,3 +138,39 @@ def normal_title(title: Column) -> Column:
     """A title without site suffix, space and punctuation, in lower case."""
     t = F.regexp_replace(title, "\\s+[|_–—-]\\s+[^|]{2,30}$", "")
     return F.lower(F.regexp_replace(t, "[\\s\\p{Punct}，。！？、：；“”‘’（）《》【】·…—]+", ""))
+
+
+# fixed values: parameters of tracking and of request signing, which are no part of an address
+TRACKING = "^(utm_|(ops_request_misc|request_id|biz_id|spm|share_token|share_source|from_source|xsec_token|xsec_source|channel_type|vd_source|scene|srcid|dist_request_id)=)"
+
+
+def without_tracking(url: Column) -> Column:
+    """The address without tracking parameters; the order of the others and the fragment stay."""
+    query = F.regexp_extract(url, "\\?([^#]*)", 1)
+    kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING))
+    return F.concat(F.regexp_extract(url, "^[^?#]*", 0), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""), F.regexp_extract(url, "#.*$", 0))
+
+
+def url_verdict(url: Column) -> Column:
+    """ok, or why an address may not be fetched: scheme, no_host, credentials, port, localhost, private."""
+    at = F.regexp_extract(url, "^[A-Za-z]+://([^/?#]*)", 1)
+    host = F.regexp_replace(F.regexp_replace(F.lower(at), ":\\d+$", ""), "\\.$", "")
+    port = F.regexp_extract(at, ":(\\d+)$", 1).try_cast("bigint")
+    v = F.when(~url.rlike("(?i)^https?://"), "scheme").when(at == "", "no_host").when(F.contains(at, F.lit("@")), "credentials").when(~port.between(1, 65535), "port").when(host.rlike("(^|\\.)localhost$"), "localhost")
+    return v.when(host.rlike("^(10\\.|127\\.|0\\.|169\\.254\\.|192\\.168\\.|172\\.(1[6-9]|2\\d|3[01])\\.)[\\d.]+$") | host.startswith("["), "private").otherwise("ok")
+
+
+def machine_url(url: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether an address holds one of the patterns of machine endpoints, or names a host alone."""
+    low = F.lower(url)
+    return low.rlike("|".join(patterns)) | low.rlike("^https?://[^/]+/*$")
+
+
+def community_key(url: Column, keys: dict[str, str]) -> Column:
+    """The community a discussion's address belongs to, by the end of its host; code hosting only for issues and the like; else blank."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#:]*)", 1)), "^www\\.", "")
+    path = F.regexp_extract(url, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    out = F.when(host == "github.com", F.when(path.rlike("^/[^/]+/[^/]+/(issues|pull|pulls|discussions)(/|$)"), "github_issues").otherwise(""))
+    for suffix, key in keys.items():
+        out = out.when((host == suffix) | host.endswith(suffix if suffix[0] in "-." else "." + suffix), key)
+    return out.otherwise("")

@@ -81,3 +81,9 @@ def verdict(confidence: Column, families: Column, publishers: Column, prior: Col
     ok = (confidence >= SUPPORTED) & ((families >= 2) | ((families == 1) & (publishers >= FAMILY_PUBLISHERS) & (prior >= FAMILY_PRIOR)))
     out = F.when(contradicted, "contested") if contradicted is not None else F.when(F.lit(False), "contested")
     return out.when(ok, "supported").otherwise("unsupported")
+
+
+def author_rank(author: Column, level: Column, verified: Column) -> Column:
+    """A source-visible level from 0 to 20, else verification, else a name, else nothing."""
+    by_level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.3) + level / 20.0))
+    return F.when(level >= 0, by_level).when(verified, 0.9).when(F.trim(F.coalesce(author, F.lit(""))) != "", 0.5).otherwise(0.4)

@@ -12,8 +12,17 @@ from gleaner.plans.text_queries import ITEMS, items, load
 QUERIES: dict = {}
 ORACLES: dict = {}
 NOW = "2025-09-15 00:00:00"
-# fixed values: venues whose host is not the publisher
-PLATFORMS = ["github.com", "reddit.com", "youtube.com", "bilibili.com", "news.ycombinator.com", "twitter.com", "v2ex.com", "t.me"]
+# fixed values: venues whose host is not the publisher (the author is)
+PLATFORMS = [
+    "github.com", "gitlab.com", "gitee.com", "bitbucket.org", "npmjs.com", "pypi.org", "crates.io", "hub.docker.com", "libraries.io",
+    "arxiv.org", "doi.org", "openreview.net", "aclanthology.org", "semanticscholar.org", "openalex.org", "paperswithcode.com",
+    "stackoverflow.com", "stackexchange.com", "ai.stackexchange.com", "serverfault.com", "superuser.com", "askubuntu.com",
+    "dev.to", "medium.com", "substack.com", "hashnode.com", "blogspot.com", "wordpress.com", "tumblr.com", "ghost.io", "beehiiv.com",
+    "zhihu.com", "wukong.com", "zhidao.baidu.com", "youtube.com", "youtu.be", "vimeo.com", "twitch.tv", "bilibili.com", "b23.tv", "douyin.com", "kuaishou.com",
+    "xiaohongshu.com", "xhscdn.com", "weibo.com", "s.weibo.com", "twitter.com", "x.com", "threads.net", "tiktok.com", "reddit.com", "news.ycombinator.com", "lobste.rs",
+    "tieba.baidu.com", "douban.com", "hupu.com", "smzdm.com", "producthunt.com", "juejin.cn", "blog.csdn.net", "csdn.net", "bbs.hupu.com", "post.smzdm.com", "search.bilibili.com",
+    "sspai.com", "oschina.net", "infoq.cn", "news.smol.ai", "share.transistor.fm", "podcastindex.org", "buzzsprout.com", "libsyn.com", "anchor.fm", "simplecast.com", "v2ex.com", "t.me",
+]
 
 
 def query(sql: str | None = None):
