@@ -115,21 +115,38 @@ def parse_when(raw: Column, now: Column) -> Column:
     digits = s.rlike("^[0-9]{10}([0-9]{3})?$")
     epoch = F.timestamp_micros((F.substring(s, 1, 10).try_cast("bigint") * 1000000))
     number = F.regexp_extract(s, "^([0-9]+)", 1).try_cast("int")
+    back = F.when(s.rlike("^(今天|today)"), 0).when(s.rlike("^前天"), 2).otherwise(1)
     rel = (
         F.when(s.rlike("^[0-9]+ ?(秒|seconds?)"), now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), number))
         .when(s.rlike("^[0-9]+ ?(分钟|minutes?|mins?)"), now - F.make_dt_interval(F.lit(0), F.lit(0), number))
         .when(s.rlike("^[0-9]+ ?(小时|hours?)"), now - F.make_dt_interval(F.lit(0), number))
         .when(s.rlike("^[0-9]+ ?(天|days?)"), now - F.make_dt_interval(number))
-        .when(s.rlike("^(昨天|yesterday)"), now - F.make_dt_interval(F.lit(1)))
+        .when(s.rlike("^(今天|昨天|前天|today|yesterday)$"), now - F.make_dt_interval(back))
     )
+    # a day with its clock time, and a month and day, which lie in the past
+    clock = F.date_trunc("DAY", now) - F.make_dt_interval(back) + F.make_dt_interval(F.lit(0), F.regexp_extract(s, "(\\d{1,2}):\\d{2}", 1).try_cast("int"), F.regexp_extract(s, "\\d{1,2}:(\\d{2})", 1).try_cast("int"))
+    this = F.try_to_timestamp(F.concat(F.year(now).cast("string"), F.lit("-"), s), F.lit("yyyy-M-d"))
+    last = F.try_to_timestamp(F.concat((F.year(now) - 1).cast("string"), F.lit("-"), s), F.lit("yyyy-M-d"))
+    rel = F.coalesce(F.when(s.rlike("^(今天|昨天|前天|today|yesterday)\\s*\\d{1,2}:\\d{2}$"), clock), F.when(s.rlike("^\\d{1,2}-\\d{1,2}$"), F.when(this > now, last).otherwise(this)), rel)
     return F.coalesce(F.when(digits, epoch), rel, F.try_to_timestamp(s), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(s, F.lit("yyyy/MM/dd")))
 
 
+# fixed values: escapes in payloads, and entities, the ampersand last so that nothing is unescaped twice
+ESCAPES = (("\\u003c", "<"), ("\\u003e", ">"), ("\\u0026", "&"), ("\\u0027", "'"), ("\\u0022", '"'), ("\\u002f", "/"), ("\\u003C", "<"), ("\\u003E", ">"), ("\\u002F", "/"), ("\\u00a0", " "), ("\\u200b", ""))
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#34;", '"'), ("&#x2F;", "/"), ("&#47;", "/"), ("&#60;", "<"), ("&#62;", ">"), ("&#160;", " "), ("&nbsp;", " "),
+    ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&#8217;", "’"), ("&#8216;", "‘"), ("&#8220;", "“"), ("&#8221;", "”"), ("&#38;", "&"), ("&amp;", "&"),
+)
+
+
 def clean_markup(raw: Column) -> Column:
     """Tags away, the common entities once, white space collapsed."""
-    s = F.regexp_replace(raw, "(?is)<(script|style)[^>]*>.*?</\\1>", " ")
+    s = raw
+    for a, b in ESCAPES:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    s = F.regexp_replace(s, "(?is)<(script|style)[^>]*>.*?</\\1>", " ")
     s = F.regexp_replace(s, "<[^>]+>", " ")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for a, b in ENTITIES:
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(s, "\\s+", " "))
 

@@ -74,33 +74,39 @@ def resolve(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
         best = found.groupBy("cid").agg(F.min_by("ptr", "pid").alias("p2"))
         edges = edges.select("nid", "id", "ptr").join(best, F.col("id") == F.col("cid"), "left").withColumn("ptr", F.coalesce("p2", "ptr"))
     par = edges.where("ptr IS NOT NULL").select(F.col("nid").alias("cn"), "ptr")
-    seg = [F.col("id").alias("seg")] if with_path else []
+    seg = [F.array("id").alias("seg")] if with_path else []
     state = nodes.join(par, F.col("nid") == F.col("cn"), "left").select(
         "nid", F.coalesce("ptr", "nid").alias("ptr"),
         F.when(F.col("ptr").isNull(), 0).otherwise(1).alias("dist"),
         F.col("ptr").isNull().alias("done"), *seg,
     )
-    state = cut(state, "state")
-    first = state
+    first = cut(state, "state")
+    # rows that are resolved stay in the table of the round that resolved them; a round writes only the rows it moved
+    parts = [first]
+
+    def now() -> DataFrame:
+        out = parts[-1]
+        for p in parts[:-1]:
+            out = out.unionByName(p.where("done"))
+        return out
+
     jump, before = 1, -1
     while True:
-        left = state.where("NOT done").count()
+        left = parts[-1].where("NOT done").count()
         # a round that resolves nothing: every open row points at an open row, so all of them lead into loops;
         # once the jump is longer than their number each pointer rests on a loop
         if left == 0 or (left == before and jump > left):
             break
         before = left
         # one left join on the pointer moves every open row twice as far
-        look = state.select(F.col("nid").alias("on"), F.col("ptr").alias("op"), F.col("dist").alias("od"), F.col("done").alias("oz"), *([F.col("seg").alias("os")] if with_path else []))
-        moved = state.where("NOT done").join(look, F.col("ptr") == F.col("on"), "left").select(
+        look = now().select(F.col("nid").alias("on"), F.col("ptr").alias("op"), F.col("dist").alias("od"), F.col("done").alias("oz"), *([F.col("seg").alias("os")] if with_path else []))
+        moved = parts[-1].where("NOT done").join(look, F.col("ptr") == F.col("on"), "left").select(
             "nid", F.col("op").alias("ptr"), (F.col("dist") + F.col("od")).alias("dist"), F.col("oz").alias("done"),
-            *([F.concat_ws("/", "os", "seg").alias("seg")] if with_path else []),
+            *([F.concat("os", "seg").alias("seg")] if with_path else []),
         )
-        nxt = cut(state.where("done").unionByName(moved), "state")
-        if state is not first:
-            drop(state)
-        state = nxt
+        parts.append(cut(moved, "state"))
         jump *= 2
+    state = now()
     names = nodes.select(F.col("nid").alias("rn"), F.col("id").alias("rid"))
     if left:
         loops = _loops(first, state.where("NOT done"), names)
@@ -133,12 +139,22 @@ def _loops(first: DataFrame, open_rows: DataFrame, names: DataFrame) -> DataFram
     return open_.join(ring.select(F.col("nid").alias("entry"), F.col("m.n").alias("loop_root")), "entry").select("nid", "loop_root")
 
 
-def paths(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", replies_col: str | None = None) -> DataFrame:
-    """(id, root_id, node_depth, path): path is the ids from the root down, joined by ``/``."""
+def chains(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", replies_col: str | None = None) -> DataFrame:
+    """(id, root_id, node_depth, path): path is the array of ids from the root down, so ids may hold any sign."""
     return resolve(rows, id_col, parent_col, replies_col, with_path=True)
 
 
+def paths(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", replies_col: str | None = None) -> DataFrame:
+    """(id, root_id, node_depth, path): path is written out, joined by ``/``, for reading."""
+    return chains(rows, id_col, parent_col, replies_col).withColumn("path", F.array_join("path", "/"))
+
+
+def loops(resolved: DataFrame) -> DataFrame:
+    """(loop_id, id): the nodes on or below each loop, which is named by its smallest id."""
+    return resolved.where("node_depth = -1").select(F.col("root_id").alias("loop_id"), "id")
+
+
 def descendants(resolved: DataFrame) -> DataFrame:
-    """(ancestor, id, distance): every node below every node, from the paths of :func:`paths`; loops have none."""
-    up = resolved.where("path IS NOT NULL AND node_depth > 0").select("id", F.posexplode(F.split("path", "/")).alias("pos", "ancestor"), "node_depth")
+    """(ancestor, id, distance): every node below every node, from the paths of :func:`chains`; loops have none."""
+    up = resolved.where("path IS NOT NULL AND node_depth > 0").select("id", F.posexplode("path").alias("pos", "ancestor"), "node_depth")
     return up.where("pos < node_depth").select("ancestor", "id", (F.col("node_depth") - F.col("pos")).cast("int").alias("distance"))

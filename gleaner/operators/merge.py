@@ -27,13 +27,13 @@ def group_quota(df: DataFrame, group: str, score: str, tie: str, per_group: int,
 
 def capped_with_backfill(df: DataFrame, host: str, position: str, cap: int, n: int) -> DataFrame:
     """n rows in position order, at most ``cap`` a host; rows beyond the cap fill what is left."""
-    w = Window.partitionBy(host).orderBy(position)
-    return df.withColumn("rn", F.row_number().over(w)).withColumn("deferred", (F.col("rn") > cap).cast("int")).orderBy("deferred", position).limit(n)
+    w = Window.partitionBy(host).orderBy(position)  # no host gives more than n rows, so its rank is limited before the shuffle
+    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).withColumn("deferred", (F.col("rn") > cap).cast("int")).orderBy("deferred", position).limit(n)
 
 
 def round_robin(df: DataFrame, host: str, position: str, n: int) -> DataFrame:
     """One row of each host in turn, hosts by their first position."""
-    a = df.withColumn("rn", F.row_number().over(Window.partitionBy(host).orderBy(position)))
+    a = df.withColumn("rn", F.row_number().over(Window.partitionBy(host).orderBy(position))).where(F.col("rn") <= n)  # limited before the shuffle
     a = a.withColumn("first_at", F.min(position).over(Window.partitionBy(host)))
     return a.orderBy("rn", "first_at", position).limit(n)
 

@@ -14,24 +14,16 @@ K1, B = 1.5, 0.75
 SATURATION, MIN_BODY, LEAD, DECAY = 2000, 400, 0.6, 0.72
 
 
-def tokenised(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, len, term): one row per token, before any aggregation."""
-    return df.select(key, archive_tokens(text).alias("ts")).select(key, F.size("ts").alias("len"), F.explode("ts").alias("term"))
+FEW_TERMS = 2000
 
 
 def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, len): the inverted index."""
-    return tokenised(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """(key, term, tf, len): the inverted index; counted within each row, without a shuffle."""
+    d = df.select(key, archive_tokens(text).alias("ts")).select(key, "ts", F.size("ts").alias("len"), F.explode(F.array_distinct("ts")).alias("term"))
+    return d.select(key, "term", F.size(F.filter("ts", lambda x: x == F.col("term"))).cast("bigint").alias("tf"), "len")
 
 
-def bm25(df: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of all texts that share a term; ``queries``: (query_id, term), distinct.
-
-    Tokens that are no query term leave before the first shuffle; corpus size
-    and mean length come from one aggregate over the scan.
-    """
-    stats = df.select(F.size(archive_tokens(text)).alias("len")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg"))
-    hit = tokenised(df, key, text).join(queries.select("term").distinct(), "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def _score(hit: DataFrame, queries: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     df_ = hit.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
@@ -39,6 +31,47 @@ def bm25(df: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame
     return queries.join(scored, "term").groupBy("query_id", key).agg(F.sum("s").alias("score")).where("score > 0")
 
 
+def bm25(df: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFrame:
+    """(query_id, key, score) of all texts that share a term; ``queries``: (query_id, term), distinct; keys are unique.
+
+    One pass over the texts: each row keeps its length and those of its tokens
+    that are query terms, which is all that is written. Up to ``FEW_TERMS``
+    different terms are tested within the row; more are met by a join.
+    """
+    few = [r[0] for r in queries.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    ts = archive_tokens(text)
+    if len(few) <= FEW_TERMS:
+        kept = F.filter("ts", lambda x: x.isin(*few)) if few else F.array().cast("array<string>")
+        d = cut(df.select(key, ts.alias("ts")).select(key, F.size("ts").alias("len"), kept.alias("ts")), "hits")
+        hit = d.where(F.size("ts") > 0).select(key, "ts", "len", F.explode(F.array_distinct("ts")).alias("term"))
+        hit = hit.select(key, "term", F.size(F.filter("ts", lambda x: x == F.col("term"))).alias("tf"), "len")
+    else:
+        d = df.select(key, F.size(ts).alias("len"))
+        hit = postings(df, key, text).join(queries.select("term").distinct(), "term", "left_semi")
+    stats = d.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg"))
+    return _score(hit, queries, stats, key)
+
+
+INDEX_BUCKETS = 64
+
+
+def build_index(df: DataFrame, key: str, text: Column, path: str) -> None:
+    """A written inverted index: postings laid out by a hash of the term, sorted by it, and the collection's two numbers."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")
+    p = postings(df, key, text).withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("term")
+    p.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    df.select(F.size(archive_tokens(text)).alias("len")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(index: DataFrame, stats: DataFrame, terms: list[tuple[str, str]], key: str) -> DataFrame:
+    """As :func:`bm25`, from an index of :func:`build_index`; reads only the buckets and row groups of the terms asked for. terms: (query_id, term)."""
+    spark = index.sparkSession
+    q = values(spark, sorted(set(terms)), "query_id string, term string")
+    buckets = values(spark, [(t,) for t in sorted({t for _, t in terms})], "term string").select(F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int")).distinct().collect()
+    hit = index.where(F.col("bucket").isin([r[0] for r in buckets]) & F.col("term").isin(sorted({t for _, t in terms}))).select(key, "term", "tf", "len")
+    return _score(hit, q, stats, key)
+
+
 def hybrid_score(title: Column, snippet: Column, length: Column, trust: Column, terms: list[str], prefer_body: bool = True) -> Column:
     """Relevance, body and trust weighed together, with a bonus where the title leads with a term."""
     def norm(c: Column) -> Column:
@@ -69,10 +102,15 @@ def hybrid_score(title: Column, snippet: Column, length: Column, trust: Column,
     return s + F.when(leads, 0.12).otherwise(0.0)
 
 
-def diversify(ranked: DataFrame, publisher: str, score: str, tie: str) -> DataFrame:
-    """Each further row of a publisher, in score order, loses by the decay; ``final`` is the new score."""
+def diversify(ranked: DataFrame, publisher: str, score: str, tie: str, most: int) -> DataFrame:
+    """Each further row of a publisher, in score order, loses by the decay; ``final`` is the new score. Rows that can be among the best ``most``.
+
+    No row behind its publisher's first ``most`` can be among them, so that limit
+    on the rank comes first and a hot publisher is cut down before the shuffle.
+    """
     w = Window.partitionBy(F.coalesce(F.col(publisher), F.lit("?"))).orderBy(F.desc(score), tie)
-    return ranked.withColumn("final", F.col(score) * F.pow(F.lit(DECAY), F.row_number().over(w) - 1))
+    r = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return r.withColumn("final", F.col(score) * F.pow(F.lit(DECAY), F.col("_r") - 1)).drop("_r")
 
 
 def cosine(a: Column, b: Column) -> Column:

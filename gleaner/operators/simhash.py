@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,42 +21,36 @@ def tokens(text: Column) -> Column:
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fingerprint): signed 64-bit SimHash; features hash by an md5 prefix, weights are counts. No features: 0.
+    """(key, fingerprint): signed 64-bit SimHash; features hash by an md5 prefix, each sighting weighs one. No features: 0.
 
-    No row per bit: set bits are counted in packed sums, a bit is set where they outweigh the rest.
+    Row-local, without a shuffle: set bits are counted over the text's tokens in
+    32 sums that hold two counters of 32 bits each; a bit is set where it
+    outweighs the rest. Rows that repeat a key repeat its fingerprint.
     """
-    tf = df.select(key, F.explode(tokens(F.col(text))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("w"))
-    h = tf.withColumn("m", F.md5("t")).withColumn("hi", F.conv(F.substring("m", 1, 8), 16, 10).cast("bigint")).withColumn("lo", F.conv(F.substring("m", 9, 8), 16, 10).cast("bigint"))
-
-    # two counters of 32 bits share a sum, so 32 sums hold the weights of all set bits
-    one = F.lit(1).cast("bigint")
-    lane = lambda i: F.sum((F.shiftright("lo", i).bitwiseAND(one) + F.shiftleft(F.shiftright("hi", i).bitwiseAND(one), 32)) * F.col("w"))
-    sums = h.groupBy(key).agg(F.sum("w").alias("all"), *[lane(i).alias(f"s{i}") for i in range(32)])
-    none = F.lit(0).cast("bigint")
-
-    def bits(x: Column, i: Column) -> Column:
-        low = F.when(x.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("all"), F.call_function("shiftleft", one, i)).otherwise(none)
-        high = F.when(F.shiftrightunsigned(x, 32) * 2 > F.col("all"), F.call_function("shiftleft", one, i + 32)).otherwise(none)
-        return low.bitwiseOR(high)
-
-    fp = F.aggregate(F.transform(F.array(*[F.col(f"s{i}") for i in range(32)]), bits), none, lambda a, x: a.bitwiseOR(x))
-    got = sums.select(key, fp.alias("fingerprint"))
-    return df.select(key).distinct().join(got, key, "left").select(key, F.coalesce("fingerprint", F.lit(0).cast("bigint")).alias("fingerprint"))
-
-
-def near_pairs(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """(fp_a, fp_b, distance) of distinct fingerprints within a Hamming distance; more bands than the distance make it exact.
-
-    Equal fingerprints are collapsed first, so a fingerprint shared by a third
-    of all rows is one row here.
+    half = "cast(conv(substring(md5(t), {}, 8), 16, 10) as bigint)"
+    hashed = F.expr(f"transform(_t, t -> named_struct('hi', {half.format(1)}, 'lo', {half.format(9)}))")
+    add = "aggregate(_h, array_repeat(0L, 32), (a, h) -> transform(a, (x, i) -> x + (shiftright(h.lo, i) & 1L) + shiftleft(shiftright(h.hi, i) & 1L, 32)))"
+    bits = "aggregate(transform(_s, (x, i) -> if((x & 4294967295L) * 2 > size(_t), shiftleft(1L, i), 0L) | if(shiftrightunsigned(x, 32) * 2 > size(_t), shiftleft(1L, i + 32), 0L)), 0L, (a, x) -> a | x)"
+    d = df.select(key, tokens(F.col(text)).alias("_t")).withColumn("_h", hashed).withColumn("_s", F.expr(add))
+    return d.select(key, F.coalesce(F.expr(bits), F.lit(0).cast("bigint")).alias("fingerprint"))
+
+
+def near_pairs(fps: DataFrame, distance: int = 3, shared: int = 3) -> DataFrame:
+    """(fp_a, fp_b, distance) of distinct fingerprints within a Hamming distance.
+
+    The bits are cut into ``distance + shared`` blocks: two fingerprints that near
+    have ``shared`` equal blocks at least, so every choice of ``shared`` blocks is a
+    key. With three of nine blocks (distance 6) a key has 21 bits, so a key meets
+    n / 2,000,000 others by chance where one band of nine bits met n / 512.
+    Equal fingerprints are collapsed first, so one shared by a third of all rows
+    is one row here.
     """
-    bands = max(4, distance + 1)
-    width = BITS // bands
+    blocks = distance + shared
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     d = fps.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
-    mask = (1 << width) - 1
-    top = BITS - width * (bands - 1)
-    vals = [F.shiftrightunsigned("fingerprint", width * i).bitwiseAND(F.lit(mask if i < bands - 1 else (1 << top) - 1).cast("bigint")) for i in range(bands)]
-    rows = d.select("fingerprint", F.posexplode(F.array(*vals)).alias("band", "value"))
-    a, b = rows.select(F.col("fingerprint").alias("fp_a"), "band", "value"), rows.select(F.col("fingerprint").alias("fp_b"), "band", "value")
+    part = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in zip(edges, edges[1:])]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), shared))])
+    rows = d.select("fingerprint", F.explode(keys).alias("key"))
+    a, b = rows.select(F.col("fingerprint").alias("fp_a"), "key"), rows.select(F.col("fingerprint").alias("fp_b"), "key")
     dist = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    return a.join(b, ["band", "value"]).where((F.col("fp_a") < F.col("fp_b")) & (dist <= distance)).select("fp_a", "fp_b", dist.cast("int").alias("distance")).distinct()
+    return a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (dist <= distance)).select("fp_a", "fp_b", dist.cast("int").alias("distance")).distinct()

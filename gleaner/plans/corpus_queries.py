@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators import merge
 from gleaner.plans.text_queries import ITEMS, items, load, sql_tokens
 from gleaner.session import values
 
@@ -28,8 +29,7 @@ SELECT id, round(sum(1.0 / (rank + 1)), 6) AS weight, count(*) AS terms FROM l G
 def reciprocal_rank_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     t = items(spark, sf, "title").select("id", T.archive_tokens(F.col("title")).alias("ts"))
     x = t.select("id", F.size("ts").alias("n"), F.explode(F.array_distinct("ts")).alias("term")).where(F.col("term").isin("licence", "council", "dataset"))
-    w = Window.partitionBy("term").orderBy("n", "id")
-    return x.withColumn("rank", F.row_number().over(w)).groupBy("id").agg(F.round(F.sum(1 / (F.col("rank") + 1)), 6).alias("weight"), F.count("*").alias("terms"))
+    return merge.numbered_within(x, "term", ["n", "id"], "rank").groupBy("id").agg(F.round(F.sum(1 / (F.col("rank") + 1)), 6).alias("weight"), F.count("*").alias("terms"))
 
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE trim(coalesce(title, '')) <> '') AS title, count(*) FILTER (WHERE trim(coalesce(url, '')) <> '') AS url, count(*) FILTER (WHERE trim(coalesce(lang, '')) <> '') AS lang, count(truncated) AS truncated, count(*) FILTER (WHERE len(incomplete_reasons) > 0) AS incomplete_reasons FROM documents GROUP BY source""")

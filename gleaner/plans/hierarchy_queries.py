@@ -20,10 +20,15 @@ def p1_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.paths(_comments(spark, sf), replies_col="replies"))
+    return hierarchy.descendants(hierarchy.chains(_comments(spark, sf), replies_col="replies"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
+def p1_loops(spark: SparkSession, sf: str) -> DataFrame:
+    """The links that close on themselves: each loop with the nodes on and below it."""
+    return hierarchy.loops(hierarchy.resolve(_comments(spark, sf), replies_col="replies"))
+
+
+QUERIES = {"p1_loops": p1_loops, "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
 
 _LINKS = r"""
 WITH RECURSIVE rws AS (
@@ -42,6 +47,7 @@ lps AS (SELECT r.a AS id, min(r.b) AS root_id FROM rch r WHERE r.b IN (SELECT id
 res AS (SELECT * FROM tree UNION ALL SELECT id, root_id, -1, NULL FROM lps)
 """
 ORACLES = {
+    "p1_loops": _LINKS + "SELECT root_id AS loop_id, id FROM lps",
     "p1_found": _LINKS + "SELECT id, root_id, CAST(node_depth AS INT) AS node_depth FROM res",
     "p1_paths": _LINKS + "SELECT id, root_id, CAST(node_depth AS INT) AS node_depth, path FROM res",
     "p1_descendants": _LINKS

@@ -137,15 +137,6 @@ def topk_evidence_per_claim(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("bigint").alias("rn")).where("rn <= 3")
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey AS claim, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')
-SELECT claim, count(DISTINCT other) AS siblings FROM (SELECT a.claim, b.claim AS other FROM e a JOIN e b ON a.item = b.item AND a.claim <> b.claim) GROUP BY claim""")
-def sibling_claims_selfjoin(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.col("o_custkey").alias("claim"))
-    e = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("claim", "item").distinct()
-    b = e.select(F.col("claim").alias("other"), "item")
-    return e.join(b, "item").where("claim <> other").select("claim", "other").distinct().groupBy("claim").agg(F.count("*").alias("siblings"))
-
-
 def sibling_counts(e: DataFrame) -> DataFrame:
     """(claim, siblings): with how many other claims each claim shares an item; e: (claim, item). A pair is shuffled once, not in both orders."""
     e = e.where("claim IS NOT NULL AND item IS NOT NULL").distinct()
@@ -153,9 +144,10 @@ def sibling_counts(e: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("claim", "other")).alias("claim")).groupBy("claim").agg(F.count("*").alias("siblings"))
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS claim, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT claim, count(DISTINCT other) AS siblings FROM (SELECT a.claim, b.claim AS other FROM e a JOIN e b ON a.item = b.item AND a.claim <> b.claim) GROUP BY claim""")
 def sibling_claims_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As sibling_claims_selfjoin, over the evidence of all orders; no SQL, tests compare with brute force."""
+    """With how many other claims each shares evidence, over the evidence of all orders."""
     o = load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("claim"))
     return sibling_counts(load(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("claim", "item"))
 
@@ -244,10 +236,13 @@ def coverage_set_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- snapshots, events and windows
-@query("WITH u AS (SELECT DISTINCT item_id, platform, collected_at, source_run, metrics FROM engagement_snapshots) SELECT item_id, platform, max(collected_at) AS collected_at, count(*) AS snapshots FROM u GROUP BY item_id, platform")
+@query("WITH u AS (SELECT DISTINCT item_id, platform, collected_at, source_run, metrics FROM engagement_snapshots), v AS (SELECT *, map_extract(metrics, 'likes')[1] AS likes, map_extract(metrics, 'views')[1] AS views FROM u) SELECT item_id, platform, max(collected_at) AS collected_at, count(*) AS snapshots, arg_max(likes, (collected_at, likes)) FILTER (WHERE likes IS NOT NULL) AS likes, arg_max(views, (collected_at, views)) FILTER (WHERE views IS NOT NULL) AS views FROM v GROUP BY item_id, platform")
 def latest_snapshot_max_by(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "engagement_snapshots").withColumn("m", F.array_sort(F.map_entries("metrics"))).select("item_id", "platform", "collected_at", "source_run", "m").distinct()
-    return e.groupBy("item_id", "platform").agg(F.max("collected_at").alias("collected_at"), F.count("*").alias("snapshots"))
+    """When each item was last seen, how often, and the last known value of each metric."""
+    get = lambda k: F.try_element_at("metrics", F.lit(k)).alias(k)
+    e = load(spark, sf, "engagement_snapshots").withColumn("m", F.array_sort(F.map_entries("metrics"))).select("item_id", "platform", "collected_at", "source_run", "m", get("likes"), get("views")).distinct()
+    last = lambda k: F.max_by(k, F.when(F.col(k).isNotNull(), F.struct("collected_at", k))).alias(k)
+    return e.groupBy("item_id", "platform").agg(F.max("collected_at").alias("collected_at"), F.count("*").alias("snapshots"), last("likes"), last("views"))
 
 
 @query("WITH e AS (SELECT item_id, platform, collected_at, unnest(map_entries(metrics)) AS m FROM engagement_snapshots) SELECT platform, m.key AS metric, count(m.value) AS known, CAST(sum(m.value) AS BIGINT) AS total FROM e GROUP BY platform, m.key")

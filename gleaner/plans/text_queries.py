@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import components, merge, retrieval, simhash
-from gleaner.session import cut, spread, values
+from gleaner.session import cut, shared_dir, spread, values
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,6 +72,16 @@ def bm25_multi_query_rank(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 10").select("query_id", "doc_id", "rank", "score")
 
 
+@query(sql_bm25("documents", "doc_id", "concat_ws(' ', title, title, text)", "SELECT * FROM (VALUES ('a', 'open'), ('a', 'licence'), ('b', 'dataset'), ('b', '4.11')) AS t(query_id, term)") + "SELECT query_id, doc_id, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 20")
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking from a written inverted index: built once, then each query reads the buckets of its terms."""
+    path = f"{shared_dir(spark)}/gleaner/index-{uuid.uuid4().hex}"
+    retrieval.build_index(spread(load(spark, sf, "documents").select("doc_id", "title", "text")), "doc_id", F.concat_ws(" ", "title", "title", "text"), path)
+    s = retrieval.search_index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), [("a", "open"), ("a", "licence"), ("b", "dataset"), ("b", "4.11")], "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return s.withColumn("score", F.round("score", 6)).withColumn("r", F.row_number().over(w)).where("r <= 20").drop("r")
+
+
 @query(f"""WITH tk AS (SELECT doc_id, unnest(list_distinct({sql_tokens('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, count(*) > 0.2 * any_value(n.n) AS generic FROM tk, n GROUP BY term""")
 def term_df_ceiling(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,27 +137,19 @@ def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_HYB + ", r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(publisher, '?') ORDER BY score DESC, id) - 1 AS k FROM h) SELECT id, publisher, score, round(score * pow(0.72, k), 6) AS final FROM r ORDER BY final DESC, id LIMIT 100")
 def hybrid_rerank_diverse(spark: SparkSession, sf: str) -> DataFrame:
-    d = retrieval.diversify(_hybrid(spark, sf), "publisher", "score", "id")
+    d = retrieval.diversify(_hybrid(spark, sf), "publisher", "score", "id", 100)
     return d.select("id", "publisher", "score", F.round("final", 6).alias("final")).orderBy(F.desc("final"), "id").limit(100)
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1)
-SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) > 0 ORDER BY similarity DESC, vec_id LIMIT 30""")
-def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))  # one vector
-    s = e.join(F.broadcast(q)).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    return s.where("similarity > 0").orderBy(F.desc("similarity"), "vec_id").limit(30)
-
-
-@query()
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])), 6) AS similarity FROM embeddings, q)
+SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s WHERE similarity > 0 QUALIFY place <= 30""")
 def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The 30 nearest of every 20th vector among all; no SQL, tests compare with brute force."""
+    """The 30 nearest of every 20th vector among all; the rank limit cuts each task's rows before the shuffle."""
     e = load(spark, sf, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     s = spread(e).crossJoin(q).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).where("similarity > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 30")
+    return s.withColumn("place", F.row_number().over(w).cast("bigint")).where("place <= 30")
 
 
 @query(_HYB + """, a AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS p FROM h), b2 AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY coalesce(trust, 0) DESC, id)) AS p FROM """ + ITEMS + """)

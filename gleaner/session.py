@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gleaner-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -85,6 +87,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds a written table; errors of the storage rise."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends, executors may be lost."""
     spark = df.sparkSession

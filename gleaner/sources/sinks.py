@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.merge import latest
 from gleaner.operators.versions import append_new
+from gleaner.session import exists
 
 
 def append_items(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id") -> None:
     """Only ids that are not stored yet are written; the first version of an id stays for good."""
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        old = incoming.limit(0)
+    old = spark.read.parquet(path) if exists(spark, path) else incoming.limit(0)
     append_new(old, incoming, key).write.mode("append").parquet(path)
 
 

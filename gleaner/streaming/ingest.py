@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.versions import append_new
-from gleaner.session import shared_dir
+from gleaner.session import exists, shared_dir
 from gleaner.sources.exports import BATCH, split_batches
 
 
@@ -21,16 +21,29 @@ def run_once(stream: DataFrame, sink, mode: str, name: str, run: str) -> None:
     q.awaitTermination()
 
 
+BUCKETS = 64
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`keep_first_sink` wrote."""
+    return spark.read.parquet(path).drop("_bucket")
+
+
 def keep_first_sink(path: str, key: str):
-    """Idempotent append: a batch adds only keys not stored yet, so a repeated batch adds nothing."""
+    """Idempotent append: a batch adds only keys not stored yet, so a repeated batch adds nothing.
+
+    The table is laid out by a hash of the key; a batch reads only the key column of the buckets it touches.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - first batch
-            old = batch.limit(0)
-        append_new(old, batch, key).write.mode("append").parquet(path)
+        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
+        if exists(spark, path):
+            touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
+            old = spark.read.parquet(path).where(F.col("_bucket").isin(touched)).select(key)
+        else:
+            old = new.select(key).limit(0)
+        append_new(old, new, key).write.mode("append").partitionBy("_bucket").parquet(path)
 
     return sink
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from gleaner.operators.hierarchy import descendants, paths, resolve
+from gleaner.operators.hierarchy import chains, descendants, loops, paths, resolve
 
 SCHEMA = "id string, parent_id string, replies array<string>, root_id string, nid long"
 
@@ -67,9 +67,16 @@ def test_paths_and_descendants(spark):
     p = paths(frame(spark, CASES["anchors and blanks"]), replies_col="replies")
     got = {r["id"]: r["path"] for r in p.collect()}
     assert got == {"1": "1", "2": "1/2", "3": "1/2/3", "4": "1/2/3/4", "5": "5"}
-    assert {tuple(r) for r in descendants(p).collect()} == {("1", "2", 1), ("1", "3", 2), ("1", "4", 3), ("2", "3", 1), ("2", "4", 2), ("3", "4", 1)}
+    assert {tuple(r) for r in descendants(chains(frame(spark, CASES["anchors and blanks"]), replies_col="replies")).collect()} == {("1", "2", 1), ("1", "3", 2), ("1", "4", 3), ("2", "3", 1), ("2", "4", 2), ("3", "4", 1)}
 
 
 def test_hot_parent(spark):
     rows = [("1000", None, None)] + [(str(k), "1000", None) for k in range(1, 400)]
     assert {r["node_depth"] for r in resolve(frame(spark, rows)).where("id <> '1000'").collect()} == {1}
+
+
+def test_ids_with_slashes_and_loops(spark):
+    rows = [("a/b", None, None), ("c/d", "a/b", None), ("e", "c/d", None), ("x", "y", None), ("y", "x", None), ("z", "x", None)]
+    got = chains(frame(spark, rows), replies_col="replies")
+    assert {tuple(r) for r in descendants(got).collect()} == {("a/b", "c/d", 1), ("a/b", "e", 2), ("c/d", "e", 1)}
+    assert {tuple(r) for r in loops(got).collect()} == {("x", "x"), ("x", "y"), ("x", "z")}

@@ -76,7 +76,7 @@ def test_hybrid(spark):
 
 def test_diversity(spark):
     d = spark.createDataFrame([(k, "p", 1.0) for k in range(4)], "id long, publisher string, score double")
-    assert [round(r["final"], 6) for r in retrieval.diversify(d, "publisher", "score", "id").orderBy("id").collect()] == [1, 0.72, 0.5184, 0.373248]
+    assert [round(r["final"], 6) for r in retrieval.diversify(d, "publisher", "score", "id", 10).orderBy("id").collect()] == [1, 0.72, 0.5184, 0.373248]
 
 
 def test_rank_fusion_over_partitions(spark):
