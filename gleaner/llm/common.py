@@ -40,19 +40,26 @@ def per_batch(fn: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Callable[[It
 
 
 def sample_rows(df: DataFrame, key: str, n: int) -> list:
-    """At most ``n`` rows, the same ones at every run: those with the smallest hash of their key.
+    """At most ``n`` rows with different keys, the same ones at every run: those with the smallest hash of their key.
 
-    A first cut by the hash leaves about ``4 * n`` rows in all, so that what
-    the tasks of a large input send to the driver does not grow with their number.
+    Keys first: hashes alone are cut to about ``4 * n`` and ordered, which gives
+    the largest hash that belongs to the sample; only rows up to it are fetched.
     """
     h = F.xxhash64(F.col(key).cast("string"))
     rows = df.where(F.col(key).isNotNull())
-    share = df.select(key).count() // (4 * n)
+    hashes = rows.select(h.alias("h"))
+    share = hashes.count() // (4 * n)
+    top = None
     if share > 1:
-        got = rows.where(F.pmod(h, F.lit(share)) == 0).orderBy(h, F.col(key)).limit(n).collect()
-        if len(got) == n:
-            return got
-    return rows.orderBy(h, F.col(key)).limit(n).collect()
+        got = hashes.where(F.pmod("h", F.lit(share)) == 0).distinct().orderBy("h").limit(n).agg(F.count("*").alias("c"), F.max("h").alias("m")).first()
+        if got["c"] == n:
+            top, rows = got["m"], rows.where(F.pmod(h, F.lit(share)) == 0)
+    if top is None:
+        top = hashes.distinct().orderBy("h").limit(n).agg(F.max("h").alias("m")).first()["m"]
+    if top is None:
+        return []
+    picked = rows.where(h <= F.lit(top)).dropDuplicates([key])
+    return sorted(picked.collect(), key=lambda r: str(r[key]))[:n]
 
 
 def utf8(s: object) -> str:

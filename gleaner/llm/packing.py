@@ -8,8 +8,8 @@ often as the counts allow). Actual documents then take the places of their
 group by rank, and small documents go best-fit, largest first, into what room
 the actual sizes leave, shard by shard.
 
-The driver sees a histogram of at most ``capacity`` sizes and counts per
-partition and group; everything on documents is distributed.
+The driver sees a histogram of at most ``capacity`` sizes; everything on
+documents, the counts per partition and group too, is distributed.
 
 Defined cases: null texts and texts of no tokens need no room and have no rows;
 a text above the capacity is split into pieces of exactly the capacity and one
@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import per_batch
@@ -161,20 +161,20 @@ def pack(counts: DataFrame, key: str, kind: str, capacity: int, groups: int = GR
     ranked = cut(rest.mapInPandas(place, f"{key} {kt}, size int, part_no int, grp int, rank long").withColumn("_p", F.spark_partition_id()), "ranked")
     large = ranked.where("grp >= 0")
     # a document's rank within its group: its rank within the partition behind those of the partitions before
-    start: dict[tuple[int, int], int] = {}
-    at = np.zeros(len(lower) + 1, dtype=np.int64)
-    for r in large.groupBy("_p", "grp").count().orderBy("_p", "grp").collect():
-        start[r["_p"], r["grp"]] = int(at[r["grp"]])
-        at[r["grp"]] += r["count"]
+    # (counts per partition and group stay a table; a group's counts are few, one a partition)
+    before = Window.partitionBy("grp").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = large.groupBy("_p", "grp").agg(F.count("*").alias("_c")).select("_p", "grp", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("first"))
+    large = large.join(start, ["_p", "grp"])
     base = np.concatenate(([0], np.cumsum([t for _, t in patterns]))).astype(np.int64)
     slots = {g: [(i, int(p[g]), t) for i, (p, t) in enumerate(patterns) if p[g]] for g in range(len(upper))}
     table = {g: (np.cumsum([k * t for _, k, t in v]), np.array([i for i, _, _ in v]), np.array([k for _, k, _ in v])) for g, v in slots.items()}
 
     def seat(b: pd.DataFrame) -> pd.DataFrame:
         no = np.zeros(len(b), dtype=np.int64)
-        for (p, g), rows in b.groupby(["_p", "grp"]).indices.items():
+        place = b["rank"].to_numpy() + b["first"].to_numpy()
+        for g, rows in b.groupby("grp").indices.items():
             cum, pat, each = table[g]
-            r = b["rank"].to_numpy()[rows] + start[p, g]
+            r = place[rows]
             k = np.searchsorted(cum, r, side="right")
             off = r - np.where(k > 0, cum[k - 1], 0)
             no[rows] = base[pat[k]] + off // each[k]

@@ -86,6 +86,14 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "eval_passages").select("eval_id", "suite").join(per, "eval_id", "left").fillna(0, ["n_docs"])
 
 
+@query
+def p9_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with leaked spans, how much of them goes and how long what is left is."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    got = leaks.removed(docs, "doc_id", "text", table(spark, sf, "eval_passages"), "eval_id", "passage")
+    return got.select("doc_id", "spans", "removed_tokens", "tokens", F.length("text").alias("chars_left"))
+
+
 def _cuts(spark: SparkSession, sf: str) -> DataFrame:
     a, b = items(spark, sf, "content", "publisher"), table(spark, sf, "documents").select("doc_id", "text", "source")
     stripper = boilerplate.fit([(spread(a), "id", "content", "publisher"), (spread(b), "doc_id", "text", "source")])
@@ -110,7 +118,7 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    members, links = neardup.join(spread(items(spark, sf, "content")), "id", "content")
+    members, links = neardup.join(spread(items(spark, sf, "content", "publisher", "title")), "id", "content", "publisher", "title")
     return neardup.all_pairs(members, links)
 
 
@@ -151,5 +159,5 @@ def p8_waste(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """One row per item of a group of near-identical texts: its group (smallest class number) and how many texts it is alike to."""
-    members, links = neardup.join(spread(items(spark, sf, "content")), "id", "content")
+    members, links = neardup.join(spread(items(spark, sf, "content", "publisher", "title")), "id", "content", "publisher", "title")
     return neardup.grouped(members, links)

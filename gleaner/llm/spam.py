@@ -3,7 +3,8 @@
 Features are computed once per page; weak labels come from strict rules on
 them; trees are fitted on a bounded sample of weakly labelled pages
 (``sample`` rows, the smallest hashes of the key, plus no other data); page
-predictions are then drawn towards the spam rate of their host.
+predictions are then moved by the spam rate of their host's other pages, with a
+weight fitted on labelled pages.
 
 Defined cases: null and blank texts are no spam; a null host is no host and
 smooths nothing; repeated doc_ids give one row; very long texts are read whole.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
-from gleaner.session import cut
+from gleaner.session import cut, values
 
 SAMPLE = 6000
 WINDOW = 80
@@ -108,32 +109,78 @@ def matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(-1, len(FEATURES)).astype(float)
 
 
-def fit(feature_rows: DataFrame, sample: int = SAMPLE) -> BaggedTrees:
-    """Trees from at most ``sample`` rows of features (numbers only reach the driver)."""
-    got = [bytes(r["f"]) for r in sample_rows(feature_rows, "_k", sample)]
+def fit(feature_rows: DataFrame, sample: int = SAMPLE) -> tuple[BaggedTrees, list[tuple]]:
+    """Trees from at most ``sample`` rows of features (numbers only reach the driver), and (key, host, out-of-bag probability, weak label) of the labelled ones."""
+    got = sample_rows(feature_rows, "_k", sample)
     if not got:
-        return BaggedTrees(np.zeros((0, len(FEATURES))), np.zeros(0))
-    x = matrix(got)
+        return BaggedTrees(np.zeros((0, len(FEATURES))), np.zeros(0)), []
+    x = matrix(bytes(r["f"]) for r in got)
     y = weak_label(x)
-    return BaggedTrees(x[y >= 0], y[y >= 0])
-
-
-def scored(df: DataFrame, key: str, text: str, host: str | None = None, sample: int = SAMPLE, weight: float = 20.0) -> DataFrame:
-    """(key, host, page, host_rate, score): the page's own probability, its host's rate and the smoothed score."""
+    known = np.flatnonzero(y >= 0)
+    model = BaggedTrees(x[known], y[known])
+    p = model.out_of_bag if model.constant is None else y[known].astype(float)
+    return model, [(got[k]["_h"], float(v), int(y[k])) for k, v in zip(known, p)]
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+# what is believed before looking: the page counts whole, its host by half; and how many pages that belief is worth
+BELIEF = np.array([0.0, 1.0, 0.5])
+WORTH = 10.0
+
+
+def weights(page: np.ndarray, host: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """(bias, weight of the page's log-odds, weight of its host's) by logistic regression on labelled pages, drawn towards ``BELIEF``; weights are not negative."""
+    w = BELIEF.copy()
+    if len(label) == 0 or label.min() == label.max():
+        return w
+    x = np.column_stack([np.ones(len(page)), page, host])
+    share = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))  # both classes weigh the same
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (label - p)) - WORTH * (w - BELIEF)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + WORTH * np.eye(3)
+        step = np.linalg.solve(h, g)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0)])
+
+
+def scored(df: DataFrame, key: str, text: str, host: str | None = None, sample: int = SAMPLE, lean: float = 20.0) -> DataFrame:
+    """(key, host, page, host_rate, score): the page's own probability, its host's rate and the smoothed score.
+
+    A host's rate is that of its other pages, leaning on the overall rate by
+    ``lean`` pages. How far it moves a page is fitted on labelled pages, judged by
+    the trees that did not see them.
+    """
     rows = cut(page_features(df, key, text, host), "features")
-    model = fit(rows, sample)
+    model, labelled = fit(rows, sample)
 
     def predict(b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"_k": b["_k"], "_h": b["_h"], "page": model.predict(matrix(b["f"]))})
 
     pages = rows.mapInPandas(per_batch(predict), f"_k {dict(rows.dtypes)['_k']}, _h string, page double").groupBy("_k", "_h").agg(F.max("page").alias("page"))
     pages = cut(pages, "pages")
-    overall = pages.agg(F.avg((F.col("page") > 0.5).cast("double"))).first()[0] or 0.0
-    # hosts are pre-aggregated; a host's rate leans on the overall rate by `weight` pages
-    hosts = pages.where("_h IS NOT NULL").groupBy("_h").agg(((F.sum((F.col("page") > 0.5).cast("double")) + F.lit(weight * overall)) / (F.count("*") + F.lit(weight))).alias("host_rate"))
-    out = pages.join(hosts, "_h", "left").withColumn("host_rate", F.coalesce("host_rate", F.lit(overall)))
-    # log-odds of the page moved by a tenth of the host's log-odds against the overall rate, at most by one
-    odds = lambda c: F.log(F.greatest(c, F.lit(1e-3)) / F.greatest(F.lit(1.0) - c, F.lit(1e-3)))
-    move = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(0.25) * (odds(F.col("host_rate")) - odds(F.lit(overall)))))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(odds(F.col("page")) + move)))
+    overall = float(pages.agg(F.avg((F.col("page") > 0.5).cast("double"))).first()[0] or 0.0)
+    # hosts are pre-aggregated
+    hosts = cut(pages.where("_h IS NOT NULL").groupBy("_h").agg(F.sum((F.col("page") > 0.5).cast("double")).alias("bad"), F.count("*").cast("double").alias("n")), "hosts")
+    asked = sorted({h for h, _, _ in labelled if h is not None})
+    rate = {r["_h"]: (r["bad"], r["n"]) for r in hosts.join(F.broadcast(values(df.sparkSession, [(h,) for h in asked], "_h string")), "_h").collect()} if asked else {}  # hosts of the sample
+    base = logit(np.array([overall]))[0]
+    use = [(p, *rate[h], y) for h, p, y in labelled if h in rate]
+    if use:
+        p, bad, n, y = (np.array(c, dtype=float) for c in zip(*use))
+        others = (bad - (p > 0.5) + lean * overall) / np.maximum(n - 1 + lean, 1.0)
+        w = weights(logit(p), logit(others) - base, y)
+    else:
+        w = BELIEF
+    own = (F.col("page") > 0.5).cast("double")
+    at = F.coalesce((F.col("bad") - own + F.lit(lean * overall)) / (F.col("n") - 1 + F.lit(lean)), F.lit(overall))
+    odds = lambda c: F.log(F.greatest(F.least(c, F.lit(1 - 1e-3)), F.lit(1e-3)) / F.greatest(F.lit(1.0) - c, F.lit(1e-3)))
+    out = pages.join(hosts, "_h", "left").withColumn("host_rate", at)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(w[0])) + float(w[1]) * odds(F.col("page")) + float(w[2]) * (odds(F.col("host_rate")) - F.lit(float(base))))))
     return out.select(F.col("_k").alias(key), F.col("_h").alias("host"), "page", "host_rate", score.alias("score"))

@@ -65,11 +65,17 @@ class BaggedTrees:
             self.constant = float(len(pos) > 0)
             return
         self.constant = None
+        votes, seen = np.zeros(len(y)), np.zeros(len(y))
         for _ in range(trees):
             # both classes in equal numbers in each bag
             n = min(max(len(pos), 200), 2000)
             pick = np.concatenate([rng.choice(pos, n), rng.choice(neg, n)])
             self.trees.append(Tree(x[pick], y[pick].astype(float), depth, least, rng))
+            out = np.setdiff1d(np.arange(len(y)), pick)
+            votes[out] += self.trees[-1].predict(x[out])
+            seen[out] += 1
+        # each row by the trees that did not see it: what the bag says of pages it was not fitted on
+        self.out_of_bag = np.where(seen > 0, votes / np.maximum(seen, 1), y)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:

@@ -44,7 +44,7 @@ from gleaner.llm.common import key128, per_batch, sample_rows, utf8
 from gleaner.llm.trees import BaggedTrees
 from gleaner.session import cut
 
-SAMPLE = 2400
+SAMPLE = 1800
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 16)
 RECUR = 3e-4
 FEW = 45
@@ -211,7 +211,7 @@ class Backward:
     def _count(self, lines: list[tuple[int, int, str, bool]]) -> None:
         codes = _codes([x for _, _, x, _ in lines])
         n = np.array([len(x) + 1 for _, _, x, _ in lines], dtype=np.int64)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+        place = (np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         salt = np.concatenate([_partial_kinds(x, page) + np.uint64(stratum) for stratum, page, x, _ in lines]) if lines else np.zeros(0, np.uint64)
         at_end = np.concatenate([_ends(x) for _, _, x, _ in lines]) if lines else np.zeros(0, bool)
         known = np.ones(len(codes), dtype=bool)
@@ -219,6 +219,8 @@ class Backward:
             known[(np.cumsum(n) - 1)[np.array([o for *_, o in lines])]] = False
         et, ct = ({int(k): float(c) for k, c in zip(*np.unique(salt[known & w], return_counts=True))} for w in (at_end, ~at_end))
         self.totals = {k: (et.get(k, 0.0) + 1.0, ct.get(k, 0.0) + 1.0) for k in set(et) | set(ct)}
+        with np.errstate(over="ignore"):
+            salt *= np.uint64(_BASE)
         h, done = codes.copy(), 1
         for order in ORDERS:
             with np.errstate(over="ignore"):
@@ -227,8 +229,15 @@ class Backward:
             done = order
             ok = known & (place >= order - 1)
             for store, which, least in ((self.end, at_end, 1), (self.inside, ~at_end, 2)):
-                u, c = np.unique(_seal(h[ok & which], salt[ok & which]), return_counts=True)
-                store[order] = (u[c >= least], c[c >= least].astype(np.float32))
+                x = h[ok & which]
+                x ^= salt[ok & which]
+                with np.errstate(over="ignore"):
+                    x *= np.uint64(0xBF58476D1CE4E5B9)
+                x.sort()  # in place: the driver holds one copy
+                first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+                c = np.diff(np.append(first, len(x)))
+                keep = c >= least
+                store[order] = (x[first[keep]], c[keep].astype(np.float32))
 
     @staticmethod
     def _seen(store, order: int, h: np.ndarray) -> np.ndarray:

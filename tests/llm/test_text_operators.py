@@ -104,9 +104,9 @@ def test_automaton_against_brute_force():
         ps = [[rng.choice("abcd") for _ in range(rng.randrange(1, 14))] for _ in range(4)]
         doc = [rng.choice("abcde") for _ in range(rng.randrange(20))]
         a = leaks.Automaton(list(enumerate(ps)), 1)
-        got = max([n for _, n, _ in a.matches(doc)], default=0)
+        got = max([n for _, n, _ in a.matches(a.numbers(doc))], default=0)
         assert got == max(brute_longest(doc, p) for p in ps)
-        for end, n, state in a.matches(doc):
+        for end, n, state in a.matches(a.numbers(doc)):
             w = doc[end - n + 1 : end + 1]
             for no, pos in a.ends[state]:
                 assert ps[no][pos - n + 1 : pos + 1] == w
@@ -245,7 +245,33 @@ def test_copies_never_excuse_a_cut(spark):
     assert {i for i in cut_ids(spark, rows, "id like 'w%'") if i[0] != "w"} == {f"{x}{k}" for x in "cd" for k in range(12)}
 
 
+def test_removed_spans(spark):
+    passage = "the seventh lamp of the harbour was lit by a keeper who had never seen the sea before"
+    long_ = " ".join(f"word{k}" for k in range(120))
+    body = "Something else entirely stands here.\n"
+    d = spark.createDataFrame([(1, body + passage.upper() + ", indeed. And more follows."), (2, body * 30), (3, None), (4, ""), (5, body + " ".join(f"word{k}" for k in range(55)) + " end"), (1, body + passage.upper() + ", indeed. And more follows."), (6, passage[:30])], "k long, t string")
+    e = spark.createDataFrame([(7, passage), (8, long_), (9, None)], "i long, p string")
+    got = {r["k"]: (r["spans"], r["removed_tokens"], r["text"]) for r in leaks.removed(d, "k", "t", e, "i", "p").collect()}
+    assert got == {1: (1, 18, body + "indeed. And more follows."), 5: (1, 55, body + "end")}
+    assert leaks.removed(d.limit(0), "k", "t", e, "i", "p").count() == 0
+
+
 # ---------------------------------------------------------------- p10
+def test_host_moves_a_page():
+    """A page in doubt goes with its host; one that is clear does not."""
+    from gleaner.llm import spam as S
+
+    r = np.random.default_rng(2)
+    label = np.repeat([1, 0], 200)
+    page = np.where(label == 1, r.normal(1.0, 2.0, 400), r.normal(-1.0, 2.0, 400))
+    host = np.where(label == 1, r.normal(2.0, 1.0, 400), r.normal(-2.0, 1.0, 400))
+    w = S.weights(page, host, label)
+    assert w[2] > 0.5
+    doubt = float(S.logit(np.array([0.4]))[0])
+    assert w @ [1, doubt, 2.5] > 0 > w @ [1, doubt, -1.0] and w @ [1, 6.9, -0.5] > 0
+    assert S.weights(page, np.zeros(400), np.ones(400)).tolist() == S.BELIEF.tolist()
+
+
 def test_trees_separate():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 5))
