@@ -25,6 +25,7 @@ import hashlib
 import re
 import zlib
 from functools import lru_cache
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -183,7 +184,74 @@ def _line_hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def spread_of(tables: list[tuple[DataFrame, str, str | None]], wanted: set[int]) -> tuple[dict[int, tuple[int, bool]], int]:
+def split_lines(text: str) -> tuple[list[int], list[str]]:
+    no, lines = [], []
+    for k, x in enumerate(text.split("\n"), 1):
+        x = x.strip()
+        if x:
+            no.append(k)
+            lines.append(x)
+    return no, lines
+
+
+class _Leaves(HTMLParser):
+    """Leaf blocks of a DOM: the text between block tags, each with its ancestor tags."""
+
+    VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
+    INLINE = {"a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u", "var"}
+    UNSEEN = {"script", "style", "template", "noscript", "head"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.text: list[str] = []
+        self.out: list[tuple[str, str]] = []
+
+    def flush(self) -> None:
+        t = " ".join("".join(self.text).split())
+        if t:
+            self.out.append((t, "/".join(x for x in self.open if x not in self.INLINE)))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.VOID:
+            if tag in ("br", "hr"):
+                self.flush()
+            return
+        if tag not in self.INLINE:
+            self.flush()
+        self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.flush()
+        if tag in self.open:
+            while self.open and self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(x in self.UNSEEN for x in self.open):
+            self.text.append(data)
+
+
+def dom_blocks(html: str) -> tuple[list[int], list[str], list[str] | None]:
+    """(numbers, texts, ancestor tags) of a page's leaf blocks, counted from 1; broken markup gives what could be read."""
+    p = _Leaves()
+    try:
+        p.feed(html)
+        p.close()
+    except (AssertionError, ValueError):
+        pass
+    p.flush()
+    return list(range(1, len(p.out) + 1)), [t for t, _ in p.out], [g for _, g in p.out]
+
+
+def line_blocks(text: str) -> tuple[list[int], list[str], list[str] | None]:
+    """(line numbers, lines, no tags) of a text."""
+    return *split_lines(text), None
+
+
+def spread_of(tables: list[tuple[DataFrame, str, str | None]], wanted: set[int], blocks=line_blocks) -> tuple[dict[int, tuple[int, bool]], int]:
     """({block: (pages with different bodies that hold it, whether all are of one host)}, number of different pages), over all rows of the (frame, text, host) tables.
 
     ``wanted`` comes from the bounded sample; what is shuffled are the hits on it.
@@ -194,7 +262,7 @@ def spread_of(tables: list[tuple[DataFrame, str, str | None]], wanted: set[int])
     def run(b: pd.DataFrame) -> pd.DataFrame:
         got = {}
         for t, h in zip(b["_t"], b["_h"]):
-            _, lines = split_lines(utf8(t))
+            _, lines, _ = blocks(utf8(t))
             if lines:
                 body = _line_hash(max(lines, key=len))  # stands for the page's body: alike in reprints
                 got[0, body] = h
@@ -267,33 +335,22 @@ def rule_labels(lines: list[str]) -> list[int] | None:
     return y
 
 
-def split_lines(text: str) -> tuple[list[int], list[str]]:
-    no, lines = [], []
-    for k, x in enumerate(text.split("\n"), 1):
-        x = x.strip()
-        if x:
-            no.append(k)
-            lines.append(x)
-    return no, lines
-
-
 def labels(lines: list[str], n: dict[int, tuple[int, bool]], pages: int) -> list[int]:
-    """Recurrence and seeds together: a seed label fills what recurrence leaves open or takes for body."""
+    """Recurrence and seeds together; what neither recurs nor is seeded is body where the seeds leave no doubt, else open."""
     y, seeds = recurrence_labels(lines, n, pages), rule_labels(lines)
     if seeds is None:
         return y
     if 1 in seeds or 1 in y:
-        # between seeded blocks, what neither recurs nor is seeded is body
-        return [1 if a == 1 or b == 1 else 0 for a, b in zip(y, seeds)]
+        return [1 if 1 in (a, b) else 0 for a, b in zip(y, seeds)]
     return y
 
 
-def fit_chain(texts: list[str], n: dict[int, tuple[int, bool]] | None = None, pages: int = 0, epochs: int = 8) -> Chain:
+def fit_chain(texts: list[str], n: dict[int, tuple[int, bool]] | None = None, pages: int = 0, epochs: int = 8, blocks=line_blocks) -> Chain:
     train = []
     for t in texts:
-        _, lines = split_lines(t)
+        _, lines, tags = blocks(t)
         if lines:
-            f, e = page_feats(lines)
+            f, e = page_feats(lines, tags)
             train.append((f, e, labels(lines, n or {}, pages)))
     return Chain(6).fit(train, epochs)
 
@@ -301,8 +358,8 @@ def fit_chain(texts: list[str], n: dict[int, tuple[int, bool]] | None = None, pa
 class Stripper:
     """Fitted models that mark a page's furniture lines; travels to the workers."""
 
-    def __init__(self, chain: Chain, trees: BaggedTrees | None) -> None:
-        self.chain, self.trees = chain, trees
+    def __init__(self, chain: Chain, trees: BaggedTrees | None, blocks=line_blocks) -> None:
+        self.chain, self.trees, self.blocks = chain, trees, blocks
 
     def marks(self, lines: list[str], tags: list[str] | None = None) -> list[int]:
         """1 for each furniture block of a page, by Viterbi."""
@@ -312,9 +369,9 @@ class Stripper:
         return self.chain.decode(self.chain.emissions(f), e)
 
     def furniture(self, text: str, check_residue: bool = False) -> tuple[list[int], list[str], list[int]]:
-        """(line numbers, lines, labels)"""
-        no, lines = split_lines(text)
-        y = self.marks(lines)
+        """(numbers, texts, labels) of a page's blocks."""
+        no, lines, tags = self.blocks(text)
+        y = self.marks(lines, tags)
         if any(y):
             if check_residue and residue.verdict(text, False) == 2:
                 return no, lines, [0] * len(y)
@@ -326,24 +383,24 @@ class Stripper:
         return no, lines, y
 
     def body(self, text: str) -> str:
-        _, lines = split_lines(text)
-        return "\n".join(x for x, v in zip(lines, self.marks(lines)) if not v)
+        _, lines, tags = self.blocks(text)
+        return "\n".join(x for x, v in zip(lines, self.marks(lines, tags)) if not v)
 
 
-def fit(tables: list[tuple[DataFrame, str, str, str | None]], spam_pages: DataFrame | None = None, sample: int = SAMPLE) -> Stripper:
-    """Models from at most ``sample`` pages of each table (frame, key, text, host) and at most ``sample`` pages for the spam trees; recurrence is counted over all pages."""
+def fit(tables: list[tuple[DataFrame, str, str, str | None]], spam_pages: DataFrame | None = None, sample: int = SAMPLE, blocks=line_blocks) -> Stripper:
+    """``blocks``: :func:`line_blocks` for texts, :func:`dom_blocks` for HTML. Models from at most ``sample`` pages of each table (frame, key, text, host) and at most ``sample`` pages for the spam trees; recurrence is counted over all pages."""
     texts = []
     for df, key, text, _ in tables:
         texts += [r[text] for r in sample_rows(df.where(F.length(F.trim(F.col(text))) > 0), key, sample)]
-    wanted = {k for t in texts for x in split_lines(t)[1] for k in block_keys(x)}
-    n, pages = spread_of([(df, text, host) for df, _, text, host in tables], wanted) if wanted else ({}, 0)
+    wanted = {k for t in texts for x in blocks(t)[1] for k in block_keys(x)}
+    n, pages = spread_of([(df, text, host) for df, _, text, host in tables], wanted, blocks) if wanted else ({}, 0)
     trees = None
     if spam_pages is not None:
         rows = sample_rows(spam_pages.where(F.length(F.trim("text")) > 0), "doc_id", sample)
         x = np.array([spam.features(r["text"]) for r in rows]).reshape(-1, len(spam.FEATURES))
         y = spam.weak_label(x) if len(x) else np.zeros(0)
         trees = BaggedTrees(x[y >= 0], y[y >= 0])
-    return Stripper(fit_chain(texts, n, pages), trees)
+    return Stripper(fit_chain(texts, n, pages, blocks=blocks), trees, blocks)
 
 
 def furniture_lines(df: DataFrame, key: str, text: str, table_name: str, model: Stripper, check_residue: bool) -> DataFrame:

@@ -148,6 +148,25 @@ def p8_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return packing.assignment(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf, "containers"))
 
 
+def p8_sound(spark: SparkSession, sf: str) -> DataFrame:
+    """Per kind, what an assignment may not have: texts of which a token is lost or placed twice, containers too full, texts split without need."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    sizes = packing.token_counts(docs, "doc_id", "text")
+    kinds = F.broadcast(table(spark, sf, "containers").select("container_kind", "capacity_tokens"))  # a fixed table of three rows
+    got = cut(packing.assignment(docs, "doc_id", "text", table(spark, sf, "containers")), "assigned")
+    per = got.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"), F.countDistinct("start_token").alias("starts"), F.count("*").alias("parts"))
+    every = sizes.join(kinds).join(per, ["container_kind", "doc_id"], "left")
+    whole = (F.col("placed") == F.col("n")) & (F.col("reach") == F.col("n")) & (F.col("starts") == F.col("parts"))
+    a = every.groupBy("container_kind").agg(F.count_if(~F.coalesce(whole, F.lit(False))).alias("lost"), F.count_if((F.col("n") <= F.col("capacity_tokens")) & (F.col("parts") > 1)).alias("split"))
+    full = got.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("t")).join(kinds, "container_kind")
+    b = full.groupBy("container_kind").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"))
+    return a.join(b, "container_kind").select("container_kind", "lost", "overfull", "split")
+
+
+QUERIES["p8_sound"] = p8_sound
+ORACLES["p8_sound"] = "SELECT container_kind, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split FROM containers"
+
+
 @query
 def p8_waste(spark: SparkSession, sf: str) -> DataFrame:
     """Containers, tokens and unused share per kind, against the fewest containers possible by volume."""

@@ -195,6 +195,25 @@ def test_furniture_without_its_phrases(spark, monkeypatch):
     assert boilerplate._at("tagnav") in f[1] and boilerplate._at("tagnav") not in f[0]
 
 
+def test_dom_blocks_and_tags(spark):
+    no, texts, tags = boilerplate.dom_blocks("<html><head><title>x</title></head><body><nav><ul><li>Home</li><li><a href='/'>News</a></li></ul></nav><article><p>Some <b>bold</b> text.<br>More.</p></article><script>no()</script></body>")
+    assert (no, texts) == ([1, 2, 3, 4], ["Home", "News", "Some bold text.", "More."]) and tags[0] == "html/body/nav/ul/li" and tags[2] == "html/body/article/p"
+    assert boilerplate.dom_blocks("") == ([], [], []) and boilerplate.dom_blocks("<p>open <div>x")[1] == ["open", "x"]
+    # furniture of one page alone, of any words: only its tags give it away
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(150):
+        nav = "".join(f"<li>{x}</li>" for x in (["Home", "Contact us now"] if k < 100 else [word(), word() + " " + word()]))
+        body = "".join(f"<p>{x}</p>" for x in page(rng, False)[0])
+        rows.append((f"r{k}", f"<body><nav>{nav}</nav><article>{body}<p>{word()} {word()}</p></article></body>"))
+    d = spark.createDataFrame(rows, "id string, html string")
+    model = boilerplate.fit([(d.where("cast(substr(id, 2) as int) < 60"), "id", "html", None)], blocks=boilerplate.dom_blocks)
+    got = {(r["rec_id"], r["line_no"]) for r in boilerplate.furniture_lines(d, "id", "html", "t", model, False).collect()}
+    late = {x for x in got if int(x[0][1:]) >= 100}
+    assert len(late & {(f"r{k}", n) for k in range(100, 150) for n in (1, 2)}) >= 90 and len(late) <= 105
+
+
 # ---------------------------------------------------------------- p4
 def story(rng):
     s = lambda: f"The {rng.choice(['council', 'court', 'vendor'])} {rng.choice(['closed', 'opened', 'sold'])} the {rng.choice(['bridge', 'harbour', 'archive'])} in {rng.choice(['May', 'June', 'July'])} after {rng.randrange(2, 90)} weeks of {rng.choice(['testing', 'talks', 'delay'])}."
