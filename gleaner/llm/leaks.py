@@ -163,39 +163,41 @@ class Automaton:
         found = self.matches(self.numbers(toks))
         return self._held(found, share) if found else []
 
-    def _places(self, found: list[tuple[int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-        """Segments (document start, passage start, length) of each passage."""
-        per: dict[int, list[tuple[int, int, int]]] = {}
-        for end, ln, state in found:
+    def _places(self, found: list[tuple[int, int, int]], share: float) -> dict[int, list[tuple[int, int, int]]]:
+        """Segments (document start, passage start, length) of each passage of which the matches could cover enough."""
+        if sum(n for _, n, _ in found) < share * min(self.sizes):  # not enough for the shortest passage
+            return {}
+        total: dict[int, int] = {}
+        for at, (end, ln, state) in enumerate(found):
             while state > 0 and self.len[state] < self.least:
                 state = self.link[state]
-            for no, pos in self.ends.get(state, ()):
-                per.setdefault(no, []).append((end - ln + 1, pos - ln + 1, ln))
+            found[at] = end, ln, state
+            for no, _ in self.ends.get(state, ()):
+                total[no] = total.get(no, 0) + ln
+        per = {no: [] for no, n in total.items() if n >= share * self.sizes[no]}
+        if per:
+            for end, ln, state in found:
+                for no, pos in self.ends.get(state, ()):
+                    if no in per:
+                        per[no].append((end - ln + 1, pos - ln + 1, ln))
         return per
 
     def _held(self, found: list[tuple[int, int, int]], share: float) -> list[tuple[int, float]]:
         out = []
-        if sum(n for _, n, _ in found) < share * min(self.sizes):  # not enough for the shortest passage
-            return out
-        for no, segs in self._places(found).items():
-            need = share * self.sizes[no]
-            if sum(s[2] for s in segs) >= need:
-                best = chain(segs, self.sizes[no])
-                if best >= need:
-                    out.append((self.ids[no], best / self.sizes[no]))
+        for no, segs in self._places(found, share).items():
+            best = chain(segs, self.sizes[no])
+            if best >= share * self.sizes[no]:
+                out.append((self.ids[no], best / self.sizes[no]))
         return out
 
-
     def spans(self, toks: list[str], share: float, span: int) -> list[tuple[int, int]]:
         """(first, past the last) token of what is to be removed from a document; spans do not overlap."""
         found = self.matches(self.numbers(toks))
         cut = [(end - ln + 1, end + 1) for end, ln, _ in found if ln >= span]
-        for no, segs in (self._places(found).items() if found else ()):
-            need = share * self.sizes[no]
-            if sum(x[2] for x in segs) >= need:
-                best, lo, hi = chain(segs, self.sizes[no], True)
-                if best >= need:
-                    cut.append((lo, hi))
+        for no, segs in (self._places(found, share).items() if found else ()):
+            best, lo, hi = chain(segs, self.sizes[no], True)
+            if best >= share * self.sizes[no]:
+                cut.append((lo, hi))
         out: list[tuple[int, int]] = []
         for lo, hi in sorted(cut):
             if out and lo <= out[-1][1]:
