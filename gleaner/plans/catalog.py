@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("hierarchy_queries", "text_queries", "relational_queries", "corpus_queries", "stream_queries", "claims_queries", "stories_queries", "rounds_queries", "parse_queries")
+MODULES = ("hierarchy_queries", "text_queries", "relational_queries", "corpus_queries", "stream_queries", "claims_queries", "stories_queries", "rounds_queries", "parse_queries", "source_queries")
 
 
 def gather(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:

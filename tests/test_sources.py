@@ -80,7 +80,7 @@ def test_journal_stream(spark, tmp_path):
     out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
     for _ in range(2):  # a second run finds nothing new
         ingest.journal_stream(spark, str(src), out, bad, "t" + tmp_path.name)
-    assert sorted(r["row"] for r in spark.read.parquet(out).collect()) == ["r1", "r2", "r3"]
+    assert sorted(r["row"] for r in ingest.stored(spark, out).collect()) == ["r1", "r2", "r3"]
     assert spark.read.parquet(bad).count() == 2
 
 
