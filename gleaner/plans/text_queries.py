@@ -274,11 +274,22 @@ def _bodies(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", "cluster_id", F.trim(F.regexp_replace(F.lower("content"), "\\s+", " ")).alias("b"))
 
 
+PAIR_BLOCK = 200
+
+
 def _shingle_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs between the distinct bodies of a group; copies are one class. Hashed shingles are written once, not worked out per pair."""
+    """Pairs between the distinct bodies of a group; copies are one class. Hashed shingles are written once, not worked out per pair.
+
+    A group meets itself block by block, so no task holds more than two blocks of a hot one.
+    """
     d = cut(classes.select("id", "cluster_id", F.transform(T.shingles(F.col("b")), lambda g: F.xxhash64(g)).alias("g")), "shingles")
-    a, b = d.select(F.col("id").alias("id_a"), "cluster_id", F.col("g").alias("ga")), d.select(F.col("id").alias("id_b"), "cluster_id", F.col("g").alias("gb"))
-    return cut(a.join(b, "cluster_id").where("id_a < id_b").select("id_a", "id_b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard")), "jaccard")
+    size = d.groupBy("cluster_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("nb"))
+    r = d.join(size, "cluster_id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    a = r.withColumn("j", F.explode(F.sequence("blk", F.col("nb") - 1))).select(F.col("id").alias("x"), "cluster_id", F.col("blk").alias("i"), "j", F.col("g").alias("gx"))
+    b = r.withColumn("i", F.explode(F.sequence(F.lit(0), "blk"))).select(F.col("id").alias("y"), "cluster_id", "i", F.col("blk").alias("j"), F.col("g").alias("gy"))
+    # within one block each pair meets in both orders, between two blocks in one
+    both = a.join(b, ["cluster_id", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))).where("x <> y")
+    return cut(both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.round(T.jaccard(F.col("gx"), F.col("gy")), 6).alias("jaccard")), "jaccard")
 
 
 @query("WITH " + _SHI + " SELECT id_a, id_b, round(k / (na + nb - k), 6) AS jaccard FROM j WHERE round(k / (na + nb - k), 6) >= 0.1")

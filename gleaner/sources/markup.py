@@ -162,6 +162,16 @@ def docx_text(blob: bytes) -> tuple[str, list[str]]:
     return "\n".join(lines), sorted(set(reasons))
 
 
+def _column(ref: str) -> int:
+    """Zero-based column of a cell reference such as ``AB12``."""
+    n = 0
+    for c in ref:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
 def xlsx_text(blob: bytes) -> tuple[str, list[str]]:
     """``A1=value`` lines of each sheet, within bounds, and which bounds were met."""
     z = checked_zip(blob)
@@ -173,15 +183,15 @@ def xlsx_text(blob: bytes) -> tuple[str, list[str]]:
     sheets = sorted(n for n in names if n.startswith("xl/worksheets/sheet") and n.endswith(".xml"))
     if len(sheets) > MAX_SHEETS:
         reasons.add("sheet_limit")
+    rows = 0  # over all sheets
     for n in sheets[:MAX_SHEETS]:
-        rows = 0
         for row in (e for e in ElementTree.fromstring(z.read(n)).iter() if _local(e.tag) == "row"):
             rows += 1
             if rows > MAX_ROWS:
                 reasons.add("row_limit")
                 break
             for k, c in enumerate(row):
-                if k >= MAX_COLS:
+                if max(k, _column(c.attrib.get("r", ""))) >= MAX_COLS:  # absent cells count too
                     reasons.add("cell_limit")
                     break
                 v = next((x.text or "" for x in c.iter() if _local(x.tag) in ("v", "t")), "")
