@@ -72,15 +72,20 @@ WEAK = re.compile(
     r"|fehler|verweigert|anmelden|aktivieren|neu laden|wartung|nicht gefunden|denegado|recargue|inténtelo|navegador|mantenimiento|no encontrad[ao])\b|错误|登录|刷新|重试|浏览器|维护中|系统维护|过期|验证",
     re.I,
 )
-# fixed values: every match of STRONG or WEAK holds one of these, so that other sentences need no pattern
-TRIGGERS = (
-    "java", "script", "cookie", "request", "slow down", "went wrong", "gateway", "server", "traceback", "unavailable", "denied", "forbidden", "found", "page you", "page does",
-    "not have access", "sign in", "log in", "expired", "not available in your", "human", "just a moment", "a robot", "captcha", "verweigert", "gefunden", "bitte melden", "anfragen",
-    "abgelaufen", "denegado", "encontrad", "inicie", "solicitudes", "caducad", "goes here", "sample text", "replace this", "asdf", "qwer", "zxcv", "test test", "texto de ejemplo",
-    "sustituir", "hier steht", "beispieltext", "platzhalter", "error", "retry", "reload", "refresh", "try again", "maintenance", "blocked", "redirect", "loading", "browser", "template",
-    "placeholder", "draft", "fehler", "anmelden", "aktivieren", "neu laden", "wartung", "recargue", "inténtelo", "navegador", "mantenimiento", "错误", "登录", "刷新", "重试", "浏览器", "维护", "过期",
-    "验证", "访问", "权限", "无权", "页面", "服务器", "启用", "开启", "所在地区", "此处", "示例", "在此",
+# fixed values: every match of STRONG holds one of the first, every match of WEAK one of the second, so that other sentences need no pattern
+STRONG_SIGNS = (
+    "javascript", "java script", "scripts", "cookies", "too many requests", "slow down", "went wrong", "bad gateway", "gateway", "upstream", "internal server", "traceback", "unavailable",
+    "denied", "automated requests", "403 forbidden", "404 not", "page you", "not found", "does not exist", "not have access", "sign in", "log in", "expired", "not available in your",
+    "human", "just a moment", "a robot", "captcha", "verweigert", "gefunden", "serverfehler", "bitte melden", "viele anfragen", "abgelaufen", "denegado", "no encontrada", "del servidor",
+    "inicie", "solicitudes", "caducad", "goes here", "sample text", "replace this", "placeholder text", "asdf", "qwer", "zxcv", "test test", "texto de ejemplo", "sustituir", "hier steht",
+    "beispieltext", "platzhalter", "访问", "拒绝", "权限", "无权", "页面", "服务器", "登录", "会话", "启用", "开启", "所在地区", "此处", "示例", "在此",
 )
+WEAK_SIGNS = (
+    "error", "denied", "forbidden", "javascript", "scripts", "cookie", "sign in", "log in", "retry", "reload", "refresh", "try again", "unavailable", "maintenance", "not found", "expired",
+    "blocked", "redirect", "loading", "browser", "request", "template", "placeholder", "draft", "fehler", "verweigert", "anmelden", "aktivieren", "neu laden", "wartung", "nicht gefunden",
+    "denegado", "recargue", "inténtelo", "navegador", "mantenimiento", "no encontrad", "错误", "登录", "刷新", "重试", "浏览器", "维护", "过期", "验证",
+)
+SIGNS = tuple(dict.fromkeys(STRONG_SIGNS + WEAK_SIGNS))
 _URL = re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)+\b")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", re.I)
 _DATE = re.compile(r"\b\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?")
@@ -106,13 +111,22 @@ def placeholder(s: str) -> bool:
 
 
 def filler(s: str) -> bool:
+    # plain words first: of a text of filler words they are filler mostly, and few other texts go on
+    plain = [w for w in s.lower().replace(",", " ").replace(".", " ").split() if w.isalpha()]
+    if len(plain) >= 3 and sum(map(FILLER.__contains__, plain)) < 0.4 * len(plain):
+        return False
     w = _WORDS.findall(s.lower())
     return len(w) >= 3 and sum(x in FILLER for x in w) >= 0.75 * len(w)
 
 
-def _told(s: str) -> bool:
+def _todo(s: str) -> bool:
+    return ("TK" in s or "TODO" in s or "TBD" in s or "FIXME" in s) and bool(TODO.search(s))
+
+
+def _told(s: str) -> list[str]:
+    """The signs of notices a text holds."""
     low = s.lower()
-    return any(x in low for x in TRIGGERS)
+    return [x for x in SIGNS if x in low]
 
 
 def verdict(s: str, title: bool) -> int:
@@ -123,24 +137,27 @@ def verdict(s: str, title: bool) -> int:
     if placeholder(t) or filler(t):
         return 2
     if title:
-        return 2 if TITLE.fullmatch(mask(t)) or TODO.search(t) else int(_told(t) and bool(WEAK.search(t)))
+        return 2 if TITLE.fullmatch(mask(t)) or _todo(t) else int(bool(_told(t)) and bool(WEAK.search(t)))
     bare = CODE.sub(" ", t)
-    if TODO.search(bare):
+    if _todo(bare):
         return 2
-    told = _told(bare)
     if bare.count(" ") < 12 and TITLE.fullmatch(mask(t)):  # a heading's stub in place of a text
         return 2
+    told = _told(bare)
     if not told:
         return 0
+    strong, weak = [w for w in told if w in STRONG_SIGNS], [w for w in told if w in WEAK_SIGNS]
     known = notice = total = 0
     for x in _SENTENCE.split(bare):
         total += len(x)
-        if _told(x):
-            m = STRONG.search(x)
-            if m and m.end() - m.start() >= SHARE * len(x):
-                known += len(x)
-            elif WEAK.search(x) or TITLE.fullmatch(mask(x)):
-                notice += len(x)
+        low = x.lower()
+        m = STRONG.search(x) if any(w in low for w in strong) else None
+        if m and m.end() - m.start() >= SHARE * len(x):
+            known += len(x)
+        elif any(w in low for w in weak) and WEAK.search(x):
+            notice += len(x)
+        elif x.count(" ") < 12 and any(w in low for w in told) and TITLE.fullmatch(mask(x)):
+            notice += len(x)
     # the notice is the text, not a remark inside a story
     if known and (known + notice >= NOTICE * total or TITLE.fullmatch(mask(t.split("\n")[0]))):
         return 2
