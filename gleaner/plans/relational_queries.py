@@ -387,7 +387,21 @@ def layer_score_merge(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf, "trust", "content", "published_at").select("id", F.round(s, 6).alias("score"))
 
 
-@query()
+def _frontier_sql(per_round: int, rounds: int) -> str:
+    """The crawl written out round by round."""
+    c = [
+        "pages AS (SELECT url, max(length(text)) AS priority FROM documents WHERE url IS NOT NULL GROUP BY url)", "home AS (SELECT source, min(url) AS dst FROM documents WHERE url IS NOT NULL GROUP BY source)",
+        "links AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT url AS src, unnest(regexp_extract_all(text, 'https?://([a-z0-9.-]+)/', 1)) AS source FROM documents WHERE url IS NOT NULL) JOIN home USING (source))", "o0 AS (SELECT DISTINCT dst AS url, 0 AS depth FROM home)", "v0 AS (SELECT url, depth FROM o0 WHERE false)",
+    ]
+    for k in range(1, rounds + 1):
+        c.append(f"r{k} AS MATERIALIZED (SELECT * FROM o{k - 1} WHERE url NOT IN (SELECT url FROM v{k - 1}))")
+        c.append(f"t{k} AS MATERIALIZED (SELECT r{k}.url, depth FROM r{k} JOIN pages ON pages.url = r{k}.url ORDER BY priority DESC, r{k}.url LIMIT {per_round})")
+        c.append(f"v{k} AS MATERIALIZED (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM t{k})")
+        c.append(f"o{k} AS MATERIALIZED (SELECT url, min(depth) AS depth FROM (SELECT * FROM r{k} WHERE url NOT IN (SELECT url FROM t{k}) UNION ALL SELECT dst, depth + 1 FROM t{k} JOIN links ON url = src) GROUP BY url)")
+    return f"WITH {', '.join(c)} SELECT url, depth FROM v{rounds}"
+
+
+@query(_frontier_sql(40, 4))
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     """Best-first crawl over the documents' own links: a url's priority is its text length, links are those between publishers of digests."""
     d = load(spark, sf, "documents").where("url IS NOT NULL").select("url", "source", "text")
