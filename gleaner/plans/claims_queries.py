@@ -164,12 +164,12 @@ def demote_only_gate(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("claim", verdict.alias("verdict"), source.alias("verdict_source"))
 
 
-@query(f"SELECT publisher, string_agg(id || '=' || coalesce(time_basis, 'pending'), ';' ORDER BY id) AS verdicts FROM {ITEMS} WHERE trust >= 0.8 GROUP BY publisher")
+@query("SELECT item_id, string_agg(platform || '=' || n, ';' ORDER BY platform) AS verdicts FROM (SELECT item_id, platform, count(*) AS n FROM engagement_snapshots GROUP BY item_id, platform) GROUP BY item_id")
 def verdict_map_per_item(spark: SparkSession, sf: str) -> DataFrame:
-    """The verdicts of each group's members as a map, written out in order."""
-    d = items(spark, sf, "publisher", "time_basis", "trust").where("trust >= 0.8")
-    m = d.groupBy("publisher").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.coalesce("time_basis", F.lit("pending")))))).alias("m"))
-    return m.select("publisher", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("verdicts"))
+    """What is known of each item, by who says it, as a map written out in order (one entry a platform, pre-aggregated)."""
+    d = load(spark, sf, "engagement_snapshots").groupBy("item_id", "platform").agg(F.count("*").alias("n"))
+    m = d.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("platform", "n")))).alias("m"))
+    return m.select("item_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("verdicts"))
 
 
 @query(f"SELECT id, coalesce(time_basis, 'pending') AS verdict, trust FROM {ITEMS} ORDER BY CASE WHEN time_basis IS NULL THEN 1 ELSE 0 END, trust DESC NULLS LAST, id LIMIT 12")

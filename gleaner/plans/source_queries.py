@@ -116,7 +116,7 @@ def export_import(spark: SparkSession, sf: str) -> DataFrame:
 def journal_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Journal batches replayed into a table keyed by row, twice; rejects stop nothing."""
     at = _place(spark, "journal")
-    e = load(spark, sf, "events").groupBy(F.expr("event_id % 20").alias("b")).agg(F.collect_list(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))).alias("rows"))  # test batches of a bounded table
+    e = load(spark, sf, "events").groupBy(F.expr("event_id div 500").alias("b")).agg(F.collect_list(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))).alias("rows"))  # batches of 500 events
     line = F.to_json(F.struct(F.lit(1).alias("version"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("batch_id"), F.lit("c").alias("corpus_id"), F.lit("2025-01-01T00:00:00").alias("created_at"), "rows"))
     e.select(line.alias("value")).repartition(3).write.text(f"{at}/in")
     for _ in range(2):

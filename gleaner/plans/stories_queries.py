@@ -121,10 +121,10 @@ def url_merge_sections(spark: SparkSession, sf: str) -> DataFrame:
     return per
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IS NOT NULL AND doc_format = 'html' AND incomplete_reasons IS NULL")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IS NOT NULL")
 def section_numbering(spark: SparkSession, sf: str) -> DataFrame:
     """The place of each entry within its section and the section's size (counts pre-aggregated, then joined)."""
-    d = load(spark, sf, "documents").where("source IS NOT NULL AND doc_format = 'html' AND incomplete_reasons IS NULL").select("doc_id", "source")
+    d = load(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", "source")
     return merge.numbered_within(d, "source", ["doc_id"], "place").join(d.groupBy("source").agg(F.count("*").alias("size")), "source").select("doc_id", "source", F.col("place").cast("bigint").alias("place"), "size")
 
 
