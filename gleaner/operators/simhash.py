@@ -35,19 +35,26 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, F.coalesce(F.expr(bits), F.lit(0).cast("bigint")).alias("fingerprint"))
 
 
-def near_pairs(fps: DataFrame, distance: int = 3, shared: int = 3) -> DataFrame:
+MANY = 1 << 17
+
+
+def near_pairs(fps: DataFrame, distance: int = 3, shared: int | None = None) -> DataFrame:
     """(fp_a, fp_b, distance) of distinct fingerprints within a Hamming distance.
 
     The bits are cut into ``distance + shared`` blocks: two fingerprints that near
     have ``shared`` equal blocks at least, so every choice of ``shared`` blocks is a
     key. With three of nine blocks (distance 6) a key has 21 bits, so a key meets
-    n / 2,000,000 others by chance where one band of nine bits met n / 512.
+    n / 2,000,000 others by chance where one band of nine bits met n / 512. Up to
+    ``MANY`` fingerprints two blocks are keys long enough, of which there are
+    fewer; the result is the same.
     Equal fingerprints are collapsed first, so one shared by a third of all rows
     is one row here.
     """
+    d = fps.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
+    if shared is None:
+        shared = 2 if d.count() <= MANY else 3
     blocks = distance + shared
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    d = fps.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
     part = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in zip(edges, edges[1:])]
     keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), shared))])
     rows = d.select("fingerprint", F.explode(keys).alias("key"))

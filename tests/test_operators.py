@@ -183,3 +183,13 @@ def test_nearest_of_every_query(spark, tmp_path):
         sim = {k: round(sum(x * y for x, y in zip(v, vecs[q])) / norm(v) / norm(vecs[q]), 6) for k, v in vecs.items()}
         assert [k for _, k in sorted(got.pop(q))] == sorted((k for k in sim if sim[k] > 0), key=lambda k: (-sim[k], k))[:30]
     assert not got
+
+
+def test_near_pairs_alike_for_any_number_of_blocks(spark):
+    rng = random.Random(8)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(1, 9))) for f in fps]
+    d = spark.createDataFrame([(f,) for f in fps] + [(None,)], "fingerprint long")
+    want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 6}
+    for shared in (None, 2, 3):
+        assert {(r["fp_a"], r["fp_b"]) for r in simhash.near_pairs(d, 6, shared).collect()} == want
