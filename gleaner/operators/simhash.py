@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import cut
+
 BITS = 64
 
 
@@ -35,7 +40,72 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, F.coalesce(F.expr(bits), F.lit(0).cast("bigint")).alias("fingerprint"))
 
 
-MANY = 1 << 17
+IN_A_TASK = 500_000  # places of fingerprints under keys in one task
+IN_A_PART = 1 << 18  # fingerprints under one choice of blocks in one part
+SMALL = 64  # members of a key that are compared offset by offset, many keys at once
+TILE = 1 << 22
+
+
+def _choices(distance: int, shared: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(masks of the blocks, choices of ``shared`` blocks in order)."""
+    blocks = distance + shared
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])], list(combinations(range(blocks), shared))
+
+
+def _meet(f: np.ndarray, mask: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Of fingerprints in the order of their bits in ``mask``: (a, b, True) places of near ones in short lists, (from, to, False) of each longer list."""
+    key = f & np.uint64(mask)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(f)))
+    short = np.repeat(size <= SMALL, size)
+    after = np.repeat(start + size, size) - np.arange(len(f)) - 1
+    at = np.flatnonzero(short & (after > 0))
+    for t in range(1, SMALL):
+        at = at[after[at] >= t]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(f[at] ^ f[at + t]) <= distance]
+        if len(near):
+            yield near, near + t, True
+    for k in np.flatnonzero(size > SMALL):
+        yield start[k : k + 1], start[k : k + 1] + size[k], False
+
+
+def _parts(batches: Iterator[pa.RecordBatch], masks: list[int], chosen: list[tuple[int, ...]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(mask, fingerprints in its order) of each part of a task."""
+    got: dict[int, list] = {}
+    for b in batches:
+        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got.setdefault(part, []).append(blob)
+    for part in sorted(got):
+        f = np.frombuffer(b"".join(got.pop(part)), dtype=np.uint64)
+        mask = sum(masks[i] for i in chosen[part % len(chosen)])
+        yield part % len(chosen), f[np.argsort(f & np.uint64(mask), kind="stable")]
+
+
+def _indexed(fps: DataFrame, distance: int, shared: int) -> DataFrame:
+    """(part, fps): distinct fingerprints once a choice of blocks, those with equal bits there in one part; a task holds whole parts."""
+    masks, chosen = _choices(distance, shared)
+    # equal fingerprints are collapsed first, so one shared by a third of all rows is one row here
+    d = cut(fps.where("fingerprint IS NOT NULL").select("fingerprint").distinct(), "fingerprints")
+    n = d.count()
+    ranges = n // IN_A_PART + 1
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = b.column(0).to_numpy().view(np.uint64)
+            parts, blobs = [], []
+            for c, blocks in enumerate(chosen):
+                with np.errstate(over="ignore"):
+                    r = (((f & np.uint64(sum(masks[i] for i in blocks))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ranges)
+                for k in np.unique(r):
+                    parts.append(int(k) * len(chosen) + c)
+                    blobs.append(f[r == k].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "fps"])
+
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, n * len(chosen) // IN_A_TASK)
+    return d.mapInArrow(index, "part long, fps binary").repartition(tasks, "part")
 
 
 def near_pairs(fps: DataFrame, distance: int = 3, shared: int | None = None) -> DataFrame:
@@ -44,20 +114,37 @@ def near_pairs(fps: DataFrame, distance: int = 3, shared: int | None = None) ->
     The bits are cut into ``distance + shared`` blocks: two fingerprints that near
     have ``shared`` equal blocks at least, so every choice of ``shared`` blocks is a
     key. With three of nine blocks (distance 6) a key has 21 bits, so a key meets
-    n / 2,000,000 others by chance where one band of nine bits met n / 512. Up to
-    ``MANY`` fingerprints two blocks are keys long enough, of which there are
-    fewer; the result is the same.
-    Equal fingerprints are collapsed first, so one shared by a third of all rows
-    is one row here.
+    n / 2,000,000 others by chance where one band of nine bits met n / 512.
+    A pair comes out only under the first choice it agrees in, so no pair comes
+    twice and nothing but the index is shuffled; pairs leave a task in pieces.
     """
-    d = fps.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
-    if shared is None:
-        shared = 2 if d.count() <= MANY else 3
-    blocks = distance + shared
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) for lo, hi in zip(edges, edges[1:])]
-    keys = F.array(*[F.xxhash64(F.lit(n), *[part[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), shared))])
-    rows = d.select("fingerprint", F.explode(keys).alias("key"))
-    a, b = rows.select(F.col("fingerprint").alias("fp_a"), "key"), rows.select(F.col("fingerprint").alias("fp_b"), "key")
-    dist = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    return a.join(b, "key").where((F.col("fp_a") < F.col("fp_b")) & (dist <= distance)).select("fp_a", "fp_b", dist.cast("int").alias("distance")).distinct()
+    shared = shared or 3
+    masks, chosen = _choices(distance, shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(c: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            x = a ^ b
+            first = np.ones(len(x), dtype=bool)
+            for i in range(chosen[c][-1]):
+                if i not in chosen[c]:
+                    first &= (x & np.uint64(masks[i])) != 0
+            a, b, x = a[first].view(np.int64), b[first].view(np.int64), x[first]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.bitwise_count(x).astype(np.int32))], ["fp_a", "fp_b", "distance"])
+
+        for c, f in _parts(batches, masks, chosen):
+            for a, b, pairs in _meet(f, sum(masks[i] for i in chosen[c]), distance):
+                if pairs:
+                    yield out(c, f[a], f[b])
+                    continue
+                m = f[a[0] : b[0]]
+                i = 0
+                while i < len(m) - 1:
+                    rows = m[i : i + max(1, min(512, TILE // (len(m) - i)))]
+                    rest = m[i + 1 :]
+                    u, v = np.nonzero(np.bitwise_count(rows[:, None] ^ rest[None, :]) <= distance)
+                    later = v >= u  # a row meets those behind it
+                    if later.any():
+                        yield out(c, rows[u[later]], rest[v[later]])
+                    i += len(rows)
+
+    return _indexed(fps, distance, shared).mapInArrow(run, "fp_a long, fp_b long, distance int")

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +194,17 @@ def test_near_pairs_alike_for_any_number_of_blocks(spark):
     want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 6}
     for shared in (None, 2, 3):
         assert {(r["fp_a"], r["fp_b"]) for r in simhash.near_pairs(d, 6, shared).collect()} == want
+
+
+def test_near_pairs_in_long_lists_come_once(spark):
+    """Dense lists: no pair comes twice from the keys it shares (no distinct over all finds, which fails by size)."""
+    rng = random.Random(5)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({(c ^ sum(1 << b for b in rng.sample(range(20, 44), rng.randrange(6)))) - (1 << 63) for c in centres for _ in range(220)} | {rng.getrandbits(64) - (1 << 63) for _ in range(80)})
+    d = spark.createDataFrame([(f,) for f in fps + fps[:50]], "fingerprint long").repartition(3)
+    want = Counter((a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 6)
+    pairs = simhash.near_pairs(d, 6)
+    assert Counter((r["fp_a"], r["fp_b"]) for r in pairs.collect()) == want
+    assert simhash.near_pairs(d.limit(0), 6).count() == 0
+    # nothing but the index is shuffled
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
