@@ -148,3 +148,74 @@ def near_pairs(fps: DataFrame, distance: int = 3, shared: int | None = None) ->
                     i += len(rows)
 
     return _indexed(fps, distance, shared).mapInArrow(run, "fp_a long, fp_b long, distance int")
+
+
+def near_links(fps: DataFrame, distance: int = 3, shared: int = 3) -> DataFrame:
+    """(a, b): links that connect the same fingerprints as all pairs of :func:`near_pairs` do, at most one a fingerprint and task.
+
+    Near fingerprints meet in a list of some choice; each list's members are
+    followed from one to the next near one until all are reached, so a dense list
+    of m members costs m links and not m²/2 pairs.
+    """
+    masks, chosen = _choices(distance, shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, label = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for c, f in _parts(batches, masks, chosen):
+            every = np.union1d(nodes, f)
+            known = np.arange(len(every))
+            if len(nodes):
+                was = np.searchsorted(every, nodes)
+                known[was] = was[label]
+            nodes, label = every, known
+            at = np.searchsorted(nodes, f)
+            lists, x, y = [], [at[:0]], [at[:0]]
+            for a, b, pairs in _meet(f, sum(masks[i] for i in chosen[c]), distance):
+                if pairs:
+                    x.append(at[a])
+                    y.append(at[b])
+                else:
+                    lists.append((a[0], b[0]))
+            label = _joined(label, np.concatenate(x), np.concatenate(y))
+            for lo, hi in lists:
+                own = at[lo:hi]
+                if (label[own] != label[own[0]]).any():
+                    label = _joined(label, *_followed(nodes, label, own, distance))
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        if len(tied):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[tied].view(np.int64)), pa.array(nodes[label[tied]].view(np.int64))], ["a", "b"])
+
+    return _indexed(fps, distance, shared).mapInArrow(run, "a long, b long")
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (each the place of its smallest fellow) after places x and y are tied."""
+    label = label.copy()
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            return label
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _followed(nodes: np.ndarray, label: np.ndarray, own: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ties between places of one list that are near and not tied so far."""
+    x, y = [own[:0]], [own[:0]]
+    rest = own
+    while len(rest) > 1:
+        seen = label[rest] == label[rest[0]]
+        front, rest = rest[seen], rest[~seen]
+        while len(front) and len(rest):
+            rows, front = front[: max(1, TILE // len(rest))], front[max(1, TILE // len(rest)) :]
+            near = np.bitwise_count(nodes[rows][:, None] ^ nodes[rest][None, :]) <= distance
+            met = near.any(axis=0)
+            if met.any():
+                x.append(rest[met])
+                y.append(rows[near[:, met].argmax(axis=0)])
+                seen = np.isin(label[rest], label[rest[met]])
+                front, rest = np.concatenate((front, rest[seen])), rest[~seen]
+    return np.concatenate(x), np.concatenate(y)

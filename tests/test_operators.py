@@ -197,7 +197,7 @@ def test_near_pairs_alike_for_any_number_of_blocks(spark):
 
 
 def test_near_pairs_in_long_lists_come_once(spark):
-    """Dense lists: no pair comes twice from the keys it shares (no distinct over all finds, which fails by size)."""
+    """Dense lists: no pair comes twice from the keys it shares (no distinct over all finds, which fails by size), and links keep the components."""
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(4)]
     fps = sorted({(c ^ sum(1 << b for b in rng.sample(range(20, 44), rng.randrange(6)))) - (1 << 63) for c in centres for _ in range(220)} | {rng.getrandbits(64) - (1 << 63) for _ in range(80)})
@@ -205,6 +205,10 @@ def test_near_pairs_in_long_lists_come_once(spark):
     want = Counter((a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 6)
     pairs = simhash.near_pairs(d, 6)
     assert Counter((r["fp_a"], r["fp_b"]) for r in pairs.collect()) == want
-    assert simhash.near_pairs(d.limit(0), 6).count() == 0
+    links = simhash.near_links(d, 6)
+    assert links.count() < len(want) / 4
+    got = components.connected_components(links)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components.connected_components(pairs, "fp_a", "fp_b").collect()))
+    assert simhash.near_pairs(d.limit(0), 6).count() == simhash.near_links(d.limit(0), 6).count() == 0
     # nothing but the index is shuffled
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
