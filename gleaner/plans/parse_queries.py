@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import parse as P
+from gleaner.operators.conjunction import Postings, per_block
 from gleaner.plans.text_queries import ITEMS, items, load
 
 QUERIES: dict = {}
@@ -174,11 +176,15 @@ def search_relaxed(spark: SparkSession, sf: str) -> DataFrame:
     x = load(spark, sf, "documents").where("doc_id % 20 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("q"), w.alias("w")).where(F.size("w") > 0)
     first = F.aggregate("w", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
     x = x.select("q", F.array_distinct("w").alias("w"), first.alias("longest"))
-    u = x.select("q", F.size("w").alias("n"), "longest", F.explode("w").alias("word"))
-    words = u.select("word").distinct()
-    d = items(spark, sf, "title", "content").select("id", F.explode(F.array_distinct(F.split(F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))), " "))).alias("word")).join(words, "word", "left_semi")
-    h = u.join(d, "word").groupBy("q", "id").agg(F.first("n").alias("n"), F.count("*").alias("c"), F.max((F.col("word") == F.col("longest")).cast("int")).alias("l"))
-    g = h.groupBy("q").agg(F.count_if(F.col("c") == F.col("n")).alias("every"), F.count_if(F.col("l") == 1).alias("one"))
+    d = items(spark, sf, "title", "content").select("id", F.array_distinct(F.split(F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))), " ")).alias("terms"))
+
+    def find(block: Postings, rows: pa.Table) -> pa.Table:
+        every = [len(block.all_of(t)) for t in block.lists]
+        one = [len(block.of(t[k])) for t, k in zip(block.lists, rows.column("at").to_pylist())]
+        return pa.table({"q": rows.column("q"), "every": pa.array(every, pa.int64()), "one": pa.array(one, pa.int64())})
+
+    lists = x.select("q", F.col("w").alias("terms"), (F.array_position("w", F.col("longest")) - 1).alias("at"))
+    g = per_block(d, load(spark, sf, "corpus_items").count(), lists, find, "q bigint, every bigint, one bigint").where("one > 0").groupBy("q").agg(F.sum("every").alias("every"), F.sum("one").alias("one"))
     z = x.select("q").join(g, "q", "left").fillna(0)
     return z.select("q", F.when(F.col("every") > 0, "all").otherwise("longest").alias("mode"), F.when(F.col("every") > 0, F.col("every")).otherwise(F.col("one")).alias("hits"))
 
