@@ -9,6 +9,7 @@ import pytest
 from gleaner.llm import boilerplate, common, queries, truncation
 from gleaner.llm.crf import DIM, Chain
 from gleaner.llm.crf import fit_whole as fit_chain
+from gleaner.llm.trees import fit_whole as fit_trees
 
 
 @pytest.fixture
@@ -99,6 +100,38 @@ def test_every_value_is_counted(spark, no_samples):
     assert {k: got[k] for k in want} == {k: (e, c if c > 1 else 0) for k, (e, c) in want.items()} and len(want) > 2
 
 
-@pytest.mark.parametrize("name", ["p2_found"])
+def test_whole_trees_separate(spark):
+    """Alike on any split of the rows; one class or no rows give a constant."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 5))
+    y = ((x[:, 1] > 0.3) & (x[:, 3] < 0.5)).astype(int)
+    d = spark.createDataFrame([(k, x[k].tolist(), int(y[k])) for k in range(400)], "k long, x array<double>, y int")
+    m = fit_trees(d)
+    assert ((m.predict(x[400:]) > 0.5) == y[400:]).mean() > 0.93
+    assert (fit_trees(d.repartition(5)).predict(x) == m.predict(x)).all()
+    assert fit_trees(d.limit(0)).predict(x[:2]).tolist() == [0, 0] and fit_trees(d.where("y = 1")).predict(x[:2]).tolist() == [1, 1]
+
+
+def test_spam_trees_see_every_page(spark):
+    """More labelled pages than a sample holds reach the fit."""
+    rng = random.Random(3)
+    rows = [(str(k), " ".join(rng.choice("cheap buy top store price deal outlet sale".split()) for _ in range(90)) + f" {k}") for k in range(1900)]
+    nouns = [a + b for a in "bal cor dun fer gil hor".split() for b in "an ex ith om ury ace".split()]
+    rows += [(f"p{k}", " ".join(f"The {rng.choice(nouns)} of {rng.choice(nouns)} {rng.choice(nouns)} a {rng.choice(nouns)} and {rng.choice(nouns)} in the {rng.choice(nouns)}." for _ in range(rng.randrange(3, 9)))) for k in range(300)]
+    d = spark.createDataFrame(rows, "id string, t string")
+    seen = []
+    fit = truncation.fit_trees
+    truncation.fit_trees = lambda t: seen.append(t.groupBy("y").count().collect()) or fit(t)
+    try:
+        _, trees = truncation.fit([(d, "id", "t")], None, 0)
+    finally:
+        truncation.fit_trees = fit
+    y = truncation.spam.weak_label(np.array([truncation.spam.features(t) for _, t in rows]))
+    assert {r["y"]: r["count"] for r in seen[0]} == {1: int((y == 1).sum()), 0: int((y == 0).sum())} and (y == 1).sum() > 1800 and (y == 0).sum() > 200
+    f = lambda k: np.array([truncation.spam.features(rows[k][1])])
+    assert trees.predict(f(0))[0] > 0.9 and trees.predict(f(1950))[0] < 0.1
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p4_found"])
 def test_no_sample_decides(spark, no_samples, name):
     queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
